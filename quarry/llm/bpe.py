@@ -155,7 +155,7 @@ class ChunkMemory:
             self.place, self.common = {c: i for i, c in enumerate(kept)}, set()
         each = [CHUNK.findall(t) for t in texts]
         block = set().union(*each)
-        known = block & self.place.keys()
+        known = {c for c in block if c in self.place}
         self.common |= known
         new = list(block - known)
         if new:

@@ -54,7 +54,7 @@ class Shingler:
         known = self.words
         if len(known) > 400_000:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in {w for w in words if w not in known}:
             known[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = max(1, len(h) - WORDS + 1)
