@@ -93,4 +93,15 @@ RRF_K, POOL, TOP_K, PER_SECTION, RERANK_POOL, RERANK_CHARS = 20, 40, 8, 2, 12, 1
 THRESHOLD, DOCUMENT_THRESHOLD = 0.58, 0.38
 STATUTE_CHARS, UPLOAD_CHARS, UPLOAD_OVERLAP = 1800, 1500, 150
 INPUT_RATE, OUTPUT_RATE, DAILY_CEILING = 0.10, 0.40, 5.0
-COLUMN_STARTS = (0.0, 120.0, 240.0, 330.0, 400.0, 470.0)
+
+# --- fixed values: a table's six columns (key, where it starts on the page, label) and page geometry --------------
+TABLE_COLUMNS = [
+    ("section", 0, None),
+    ("offence", 88, "Offence"),
+    ("punishment", 192, "Punishment"),
+    ("cognizable", 285, "Cognizable or non-cognizable"),
+    ("bailable", 369, "Bailable or non-bailable"),
+    ("court", 447, "By what Court triable"),
+]
+HEADER_Y, TABLE_HEADER_Y, TABLE_FOOTER_Y, LINE_TOLERANCE, MARGIN_GAP, MARGIN_HEIGHT, MARGIN_LEFT, MARGIN_RIGHT = 765, 760, 55, 2.5, 15, 9, 110, 470
+PARAGRAPH_GAP, COLUMN_SLACK = 1.6, 2
