@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.shared import CHUNK, blocks, small_batches
+from quarry.llm.shared import blocks, chunk_pattern, small_batches
 
 #: Chunks of text whose ids a worker remembers.
 MEMORY = 400_000
@@ -139,8 +139,8 @@ class ChunkMemory:
     """Ids of the chunks that texts are made of. When it is full, what came in two blocks or more stays."""
 
     def __init__(self):
-        self.place: dict[str, int] = {}
-        self.ids: list[bytes] = []
+        self.chunks = chunk_pattern().findall
+        self.ids: dict[str, bytes] = {}
         self.common: set[str] = set()
 
     def coded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,26 +149,22 @@ class ChunkMemory:
 
     def learn(self, texts: list[str]) -> list[list[str]]:
         """The chunks of each text, all of them learnt."""
-        if len(self.place) > MEMORY:
-            kept = list(self.common)
-            self.ids = [self.ids[self.place[c]] for c in kept]
-            self.place, self.common = {c: i for i, c in enumerate(kept)}, set()
-        each = [CHUNK.findall(t) for t in texts]
+        if len(self.ids) > MEMORY:
+            self.ids, self.common = {c: self.ids[c] for c in self.common}, set()
+        each = list(map(self.chunks, texts))
         block = set().union(*each)
-        known = {c for c in block if c in self.place}
-        self.common |= known
-        new = list(block - known)
+        new = [c for c in block if c not in self.ids]
+        self.common.update(block.difference(new))
         if new:
             ids, starts = self.coded(new)
             raw, cuts = ids.astype("<u4").tobytes(), (4 * starts).tolist()
-            self.place.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
-            self.ids.extend(raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+            self.ids.update((c, raw[a:b]) for c, a, b in zip(new, cuts, cuts[1:], strict=False))
         return each
 
     def encode(self, texts: list[str]):
         """For each text: its ids."""
         for own in self.learn(texts):
-            yield np.frombuffer(b"".join([self.ids[self.place[c]] for c in own]), "<u4")
+            yield np.frombuffer(b"".join(map(self.ids.__getitem__, own)), "<u4")
 
 
 class Encoder(ChunkMemory):

@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 #: The Unicode White_Space code points (what \s of the tokenizers' patterns matches).
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
-#: White space with the characters after it. A pre-token never spans the end of such a chunk, because every
-#: alternative of the byte-level pattern that reaches white space starts at it.
-CHUNK = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
+
+
+def chunk_pattern(white_space: str = WHITE_SPACE) -> re.Pattern:
+    """White space with the characters after it. A pre-token never spans the end of such a chunk, because every
+    alternative of the byte-level pattern that reaches white space starts at it."""
+    return re.compile(f"[{white_space}]*[^{white_space}]+|[{white_space}]+")
+
 
 #: Rows of a batch that goes to Python; bounds a worker's memory when texts are long.
 BATCH_ROWS = 1000
