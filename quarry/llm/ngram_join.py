@@ -222,7 +222,8 @@ def linked(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     inter = np.zeros((len(a), len(b)), np.int64)
     flat, row = np.concatenate(a), np.repeat(np.arange(len(a)), sizes_a)
     other, col = np.concatenate(b), np.repeat(np.arange(len(b)), sizes_b)
-    terms = np.intersect1d(flat, other)
+    values, counts = np.unique_counts(np.concatenate([flat, other])) if a is not b else np.unique_counts(flat)
+    terms = values[counts > 1]  # a term of one set alone is in no intersection
     for i in range(0, len(terms), 2048):
         some = terms[i : i + 2048]
         one, two = np.zeros((len(a), len(some)), np.float32), np.zeros((len(b), len(some)), np.float32)
@@ -259,7 +260,8 @@ def exact_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str)
         a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
         edges, docs_linked, sets_linked = [], np.zeros(len(cls), np.int64), np.zeros(len(cls), np.int64)
         if len(a) and len(b):
-            near = linked([sets[i] for i in a], [sets[i] for i in b])
+            left = [sets[i] for i in a]
+            near = linked(left, left if low == high else [sets[i] for i in b])
             if low == high:
                 np.fill_diagonal(near, False)
             docs_linked[a] += near @ copies[b]

@@ -34,7 +34,7 @@ def op5_source_mix(spark, sf_dir):
 
 
 def op6_quality_rules(spark, sf_dir):
-    return quality_rules.quality_figures(_table(spark, sf_dir, "documents"))
+    return quality_rules.quality_figures(_table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op7_token_files(spark, sf_dir):
@@ -56,4 +56,46 @@ def op10_byte_bpe(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_ngram_jaccard_join, op4_exact_dedup, op5_source_mix, op6_quality_rules, op7_token_files, op8_html_text, op9_weak_quality, op10_byte_bpe)}
 
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _secret_sql() -> str:
+    """Spans as running lengths of what lies between and in the matches; weak ones need a partner near."""
+    S = secrets
+    patterns = [("assign", S.ASSIGN, f"length(regexp_extract(m, {_q(S.ASSIGN)}, 2)) >= {S.ASSIGN_LEAST}"), ("access", S.ACCESS, f"length(m) >= {S.ACCESS_LEAST}"), ("hex", S.HEX, f"length(m) >= {S.HEX_LEAST}"), *((k, p, "true") for k, p in S.WEAK)]
+    parts = []
+    for i, (kind, pattern, test) in enumerate(patterns):
+        role, needs = S.ROLE[kind], S.NEEDS.get(kind, ())
+        found = f"SELECT doc_id, regexp_extract_all(t, {_q(pattern)}) AS ms, string_split_regex(t, {_q(pattern)}) AS gs FROM docs WHERE regexp_matches(t, {_q(pattern)})"
+        flat = f"SELECT doc_id, ms, gs, unnest(ms) AS m, unnest(range(len(ms))) AS i FROM ({found})"
+        start = "coalesce(list_sum(list_transform(gs[1:i + 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i], lambda x: length(x))), 0)"
+        parts.append(f"SELECT doc_id, {i} AS k, '{kind}' AS kind, '{role}' AS role, {list(needs)!r}::VARCHAR[] AS needs, ({start})::BIGINT AS a, ({start})::BIGINT + length(m) AS z FROM ({flat}) WHERE {test}")
+    n = len(S.BASE)
+    return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({" UNION ALL ".join(parts)}),
+weak AS (SELECT * FROM found w WHERE k >= {n} AND EXISTS (SELECT 1 FROM found o WHERE o.doc_id = w.doc_id AND list_contains(w.needs, o.role) AND abs(o.a - w.a) <= {S.SCOPE} AND (w.z <= o.a OR o.z <= w.a)) AND NOT EXISTS (SELECT 1 FROM found b WHERE b.doc_id = w.doc_id AND b.k < {n} AND b.a <= w.a AND w.z <= b.z)),
+kept AS (SELECT * FROM found WHERE k < {n} UNION ALL SELECT * FROM weak),
+sums AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, coalesce(string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, k) FILTER (k < {n}), '') AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, z, k) AS spans, count(*) FILTER (k >= {n}) AS n_weak FROM kept GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_weak, 0) AS n_weak FROM docs LEFT JOIN sums USING (doc_id)"""
+
+
+DEDUP_SQL = r"""WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256, length(coalesce(text, '')) AS n FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept, text_sha256 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)"""
+
+
+def _rules_sql() -> str:
+    """Places in repeats of n words or more are the places in windows of n words that occur twice."""
+    R = quality_rules
+    grams = lambda n: f"SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (SELECT doc_id, i, n, string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS g FROM places) WHERE i + {n} <= n) WHERE c > 1"
+    cover = lambda n: f"SELECT doc_id, count(DISTINCT i + k) AS n FROM ({grams(n)}), range({n}) r(k) GROUP BY doc_id"
+    return rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+places AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS x, unnest(range(len(ws))) AS i FROM w), c3 AS ({cover(R.WINDOW)}), c5 AS ({cover(R.REPEAT)}), long AS (SELECT DISTINCT doc_id, true AS is_long FROM ({grams(R.LONGEST + 1)})),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM w) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+f AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(c3.n, 0) AS n_repeat_words, coalesce(c5.n, 0) AS n_covered, coalesce(is_long, false) AS is_long FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN c3 USING (doc_id) LEFT JOIN c5 USING (doc_id) LEFT JOIN long USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered, n_words < {R.MIN_WORDS} OR 100 * n_repeat_words > {R.MAX_REPEAT_PERCENT} * n_words AS base_failed, NOT (n_words < {R.MIN_WORDS} OR 100 * n_repeat_words > {R.MAX_REPEAT_PERCENT} * n_words) AND 100 * n_covered <= {R.MAX_COVERED} * n_words AND NOT is_long AS kept FROM f"""
+
+
+#: The others have no SQL: what they compute is compared with brute force, library encoders or held-out labels in tests.
+ORACLE_SQL = {"op1_secret_scan": _secret_sql(), "op4_exact_dedup": DEDUP_SQL, "op6_quality_rules": _rules_sql()}

@@ -124,9 +124,8 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         marked = F.broadcast(marked)
     own = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     found = own.join(marked, F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", F.xxhash64("text").alias("hash"), "text")
+    found = found.groupBy("hash").agg(F.min(F.struct("doc_id", "toxic", "text")).alias("first")).select("hash", "first.toxic", "first.text")
     found = written(found, "labelled")
-    first = written(found.groupBy("hash").agg(F.min(F.struct("doc_id", "toxic"))["doc_id"].alias("_first")), "first")
-    found = found.join(first.withColumnRenamed("hash", "_hash"), (F.col("hash") == F.col("_hash")) & (F.col("doc_id") == F.col("_first")), "left_semi")
     n1, n0 = found.agg(F.expr("count_if(toxic = 1)"), F.expr("count_if(toxic = 0)")).first()
     if not n1 or not n0:
         return Model({}, slope=0.0)
