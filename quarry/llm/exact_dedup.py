@@ -87,9 +87,9 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     seen, known = _indexed(docs, index, id_col, text_col)
     best = known.where("is_new").select("digest", F.col("length").alias("_length"), F.col("keep_id").alias("_id"))
     match = lambda left: (left["digest"] == best["digest"]) & (left["length"] == best["_length"]) & left["doc_id"].eqNullSafe(best["_id"])
-    stays = written(seen.join(best, match(seen), "left_semi").select(F.col("digest").alias("_digest"), F.col("length").alias("_length"), F.col("doc_id").alias("_id"), "n"), "stays")
+    stays = written(seen.join(best, match(seen), "left_semi").select(F.col("digest").alias("_digest"), F.col("length").alias("_length"), F.col("doc_id").alias("_id"), F.col("n").alias("_copies")), "stays")
     rows = docs.withColumn("_d", F.struct(F.unhex(digest_of(F.col(text_col))).alias("digest"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("length")))
     rows = rows.join(stays, (F.col("_d.digest") == F.col("_digest")) & (F.col("_d.length") == F.col("_length")) & F.col(id_col).eqNullSafe(F.col("_id")))
-    if stays.where("n > 1").isEmpty():
+    if stays.where("_copies > 1").isEmpty():
         return rows.select(*docs.columns)
-    return rows.where("n = 1").select(*docs.columns).unionByName(rows.where("n > 1").dropDuplicates(["_digest"]).select(*docs.columns))
+    return rows.where("_copies = 1").select(*docs.columns).unionByName(rows.where("_copies > 1").dropDuplicates(["_digest"]).select(*docs.columns))
