@@ -27,8 +27,9 @@ from quarry.llm.shared import small_batches, written
 
 #: Words of a shingle; threshold as a fraction; minhash tokens of a signature; bytes kept of each.
 WORDS, NUM, DEN, T = 5, 4, 5, 128
-#: Sets of a bucket that is searched at once, levels of splitting, sets of a tile.
-SMALL, LEVELS, TILE = 256, 5, 512
+#: Sets of a bucket that is searched at once, levels of splitting (each doubles the rows of buckets that do not shrink),
+#: sets of a tile.
+SMALL, LEVELS, TILE = 256, 3, 512
 RECALL = 0.9999
 #: Equal bytes of two signatures that make a candidate: over six standard deviations below the threshold.
 LEAST_EQUAL = 76
