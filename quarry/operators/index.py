@@ -24,9 +24,12 @@ def document_frequency(tokenised: DataFrame) -> DataFrame:
     return tokenised.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def term_frequency(tokenised: DataFrame) -> DataFrame:
-    """(id, term, tf, length)."""
-    return tokenised.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
+def term_frequency(tokenised: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, length); only: the terms that are wanted, which others are dropped for before the shuffle."""
+    rows = tokenised.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    if only is not None:
+        rows = rows.join(only, "term", "left_semi")
+    return rows.groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
 
 
 def idf(n_docs, df):
@@ -35,10 +38,11 @@ def idf(n_docs, df):
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def postings(tokenised: DataFrame, stats: DataFrame) -> DataFrame:
-    """(id, term, tf, weight): the document side of BM25, made once at index time. stats is one row."""
+def postings(tokenised: DataFrame, stats: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, weight): the document side of BM25, made once at index time, or for some terms alone. stats is
+    one row."""
     norm = F.when(F.col("avg_length") == 0, F.lit(1.0)).otherwise(1 - V.B + V.B * F.col("length") / F.col("avg_length"))
-    rows = term_frequency(tokenised).crossJoin(F.broadcast(stats))
+    rows = term_frequency(tokenised, only).crossJoin(F.broadcast(stats))
     return rows.select("id", "term", "tf", (F.col("tf") * (V.K1 + 1) / (F.col("tf") + V.K1 * norm)).alias("weight"))
 
 

@@ -127,7 +127,7 @@ def _legs(spark, d):
     t = I.tokens(table(spark, d, "documents"), "doc_id", "text")
     stats, df = I.corpus_stats(t), I.document_frequency(t)
     q = terms.join(df, "term", "left").crossJoin(F.broadcast(stats)).select("qid", "term", I.idf(F.col("n_docs"), F.col("df")).alias("idf"))
-    return held, search._dense(spark, d), S.sparse_leg(q, I.postings(t, stats))
+    return held, search._dense(spark, d), S.sparse_leg(q, I.postings(t, stats, q.select("term").distinct()))
 
 
 def eval_hit_recall_mrr(spark, d):

@@ -26,7 +26,7 @@ def _bm25(spark, d):
     t = _tokens(spark, d)
     stats, df = I.corpus_stats(t), I.document_frequency(t)
     q = I.query_terms(table(spark, d, "benchmark"), "item_id", "text", stats, df)
-    return stats, df, I.postings(t, stats), q
+    return stats, df, I.postings(t, stats, q.select("term").distinct()), q
 
 
 def tokenize_counts(spark, d):
@@ -61,8 +61,8 @@ def bm25_idf(spark, d):
 
 
 def bm25_doc_weights(spark, d):
-    _, _, postings, q = _bm25(spark, d)
-    return postings.join(q.select("term").distinct(), "term", "left_semi").select(F.col("id").alias("doc_id"), "term", "tf", F.round("weight", 6).alias("weight"))
+    _, _, postings, _ = _bm25(spark, d)
+    return postings.select(F.col("id").alias("doc_id"), "term", "tf", F.round("weight", 6).alias("weight"))
 
 
 def bm25_topk_per_query(spark, d):
