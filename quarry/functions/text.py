@@ -107,7 +107,10 @@ def sentences(text: Column) -> Column:
 def neutralise(text: Column) -> Column:
     """struct(text, removed): the text without the sentences that give orders, and how many those are."""
     all_, kept = sentences(text), F.filter(sentences(text), lambda s: find_document_injection(s).isNull())
-    return F.struct(F.array_join(kept, " ").alias("text"), (F.size(all_) - F.size(kept)).alias("removed"))
+    cut = F.struct(F.array_join(kept, " ").alias("text"), (F.size(all_) - F.size(kept)).alias("removed"))
+    # a text that breaks no rule as a whole has no sentence that does
+    whole = F.struct(F.regexp_replace(text, r"(?<=[.!?])\s+", " ").alias("text"), F.lit(0).alias("removed"))
+    return F.when(find_document_injection(text).isNull(), whole).otherwise(cut)
 
 
 def find_references(text: Column) -> Column:

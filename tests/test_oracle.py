@@ -2,9 +2,9 @@
 
 import pytest
 
-from quarry.plans import language, parsing, records, search
+from quarry.plans import language, parsing, records, search, service
 
-CASES = [(name, plan.QUERIES[name], plan.SQL[name]) for plan in (search, language, parsing, records) for name in plan.QUERIES]
+CASES = [(name, plan.QUERIES[name], plan.SQL[name]) for plan in (search, language, parsing, records, service) for name in plan.SQL]
 
 
 @pytest.mark.parametrize("name,query,sql", CASES, ids=[c[0] for c in CASES])
