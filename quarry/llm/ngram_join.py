@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from quarry.llm.shared import small_batches, written
 
@@ -31,6 +32,8 @@ WORDS, NUM, DEN, T = 5, 4, 5, 128
 #: sets of a tile.
 SMALL, LEVELS, TILE = 256, 3, 512
 RECALL = 0.9999
+#: Bits of the bitmap that filters documents before their texts are shuffled (2 MB).
+BITMAP = 1 << 24
 #: Equal bytes of two signatures that make a candidate: over six standard deviations below the threshold.
 LEAST_EQUAL = 76
 
@@ -236,6 +239,19 @@ def linked(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return (NUM + DEN) * inter >= NUM * (sizes_a[:, None] + sizes_b[None, :])
 
 
+def marked(docs: DataFrame, key: str, members: DataFrame, member: str) -> DataFrame:
+    """docs with _maybe: whether the key may be among the members: by a bitmap of hashed keys, which has BITMAP bits
+    however many members there are. It keeps the texts of the others out of the shuffle that a join needs; what it lets
+    through by chance, the join tells apart."""
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP)) + 1
+    own = members.select(spot(member).alias("_h"))
+    bits = own.groupBy(F.bitmap_bucket_number("_h").alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
+    rows = docs.withColumn("_h", spot(key)).join(F.broadcast(bits), F.bitmap_bucket_number("_h") == F.col("_b"), "left")
+    at = F.bitmap_bit_position("_h")
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.select(*docs.columns, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias("_maybe"))
+
+
 def exact_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Of members (cls, copies, doc_id, root, n: sets in the component): edges (a, b) that join similar sets, and per
     cls links: the documents of other sets that are similar, links_sets: those sets."""
@@ -249,7 +265,7 @@ def exact_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str)
             yield pa.RecordBatch.from_pydict({"cls": pa.array([rows[i]["cls"] for i in keep], pa.int64()), "copies": pa.array([rows[i]["copies"] for i in keep], pa.int64()), "root": pa.array([rows[i]["root"] for i in keep], pa.int64()), "n": pa.array([rows[i]["n"] for i in keep], pa.int64()), "set": pa.array([sets[i].tobytes() for i in keep], pa.binary())})
 
     texts = docs.selectExpr(f"`{id_col}` AS _id", f"CAST(`{text_col}` AS BINARY) AS text")
-    own = texts.join(members, texts["_id"].eqNullSafe(members["doc_id"])).select("cls", "copies", "root", "n", "text")
+    own = marked(texts, "_id", members, "doc_id").where("_maybe").join(members, F.col("_id").eqNullSafe(F.col("doc_id"))).select("cls", "copies", "root", "n", "text")
     sets = tiled(own.mapInArrow(shingled, "cls long, copies long, root long, n long, set binary"), "root", "cls", "n", TILE)
 
     def verify(table):
@@ -293,7 +309,8 @@ def exact_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str)
 
 
 def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, class_id, n_links, n_set_links, cls.
+    """One row per row of docs: doc_id, class_id, n_links, n_set_links, cls (hash of its shingle set) and root (of its
+    class).
 
     Two texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. class_id is the
     least doc_id (null first) of the rows that links connect; n_links counts the other rows that this row is linked to,
@@ -313,23 +330,32 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labels = per_set.join(joined, "cls", "left").join(links, "cls", "left").select("cls", "copies", "doc_id", F.coalesce("root", "cls").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("links_sets", F.lit(0)).alias("links_sets"))
     labels = written(labels, "labels")
     ids = labels.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("_"), "doc_id"))["doc_id"].alias("class_id"))
-    facts = labels.join(ids, "root").select("cls", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("links_sets").alias("n_set_links"))
-    rows = seen.where("cls IS NOT NULL").select("doc_id", "cls").join(facts, "cls").select("doc_id", "class_id", "n_links", "n_set_links", "cls")
+    facts = labels.join(ids, "root").select("cls", "root", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("links_sets").alias("n_set_links"))
+    rows = seen.where("cls IS NOT NULL").select("doc_id", "cls").join(facts, "cls").select("doc_id", "class_id", "n_links", "n_set_links", "cls", "root")
     zero = F.lit(0).cast("long")
-    return rows.unionByName(seen.where("cls IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_set_links"), "cls"))
+    return rows.unionByName(seen.where("cls IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_set_links"), "cls", F.col("cls").alias("root")))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs of which one stays for each class: the least doc_id; of several such rows, the one whose text's
-    hash is least, and of alike rows any. Texts without words all stay."""
-    classes = ngram_classes(docs, id_col, text_col)
-    stays = classes.where("cls IS NULL OR doc_id <=> class_id").groupBy("class_id", F.col("cls").isNull().alias("empty")).agg(F.min("cls").alias("cls")).select(F.col("class_id").alias("_id"), "empty")
-    stays = written(stays, "stays")
-    one = docs.join(stays.select("_id").distinct(), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    """The rows of docs of which one stays for each class: the least doc_id (null first); of rows with the same id, that
+    of the least hash of shingles, and of rows alike in both any. Texts without words all stay."""
+    classes = written(ngram_classes(docs, id_col, text_col), "classes")
     if docs.groupBy(id_col).count().where("count > 1").isEmpty():
-        return one
-    words = F.col(text_col).rlike("[^\\x20\\x09-\\x0D]")
-    full = one.where(words).withColumn("_t", F.xxhash64(text_col))
-    least = full.groupBy(id_col).agg(F.min("_t").alias("_m")).withColumnRenamed(id_col, "_id")
-    full = full.join(least, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_m")), "left_semi").dropDuplicates([id_col, "_t"]).drop("_t")
-    return full.unionByName(docs.where(~F.coalesce(words, F.lit(False))))
+        goes = written(classes.where("cls IS NOT NULL AND NOT (doc_id <=> class_id)").select(F.col("doc_id").alias("_id")), "goes")
+        rows = marked(docs, id_col, goes, "_id")
+        rest = rows.where("_maybe").join(goes, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+        return rows.where("NOT _maybe").unionByName(rest).select(*docs.columns)
+    # ids that repeat: a row is told by its id and its shingle set
+    least = classes.where("cls IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("_"), "doc_id", "cls")).alias("x"))
+    stays = written(least.select(F.col("x.doc_id").alias("_id"), F.col("x.cls").alias("_own")), "stays")
+
+    def classed(batches):
+        shingler = Shingler()
+        for batch in batches:
+            sets = [shingler.set_of(t or b"") for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
+            own = pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63 if len(x) else None for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, "_cls"])
+
+    rows = docs.mapInArrow(classed, T_.StructType([*docs.schema.fields, T_.StructField("_cls", T_.LongType())]))
+    full = rows.join(stays, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_cls") == F.col("_own")), "left_semi")
+    return full.dropDuplicates([id_col, "_cls"]).unionByName(rows.where("_cls IS NULL")).drop("_cls")

@@ -22,7 +22,7 @@ def op2_toxicity(spark, sf_dir):
 
 
 def op3_ngram_jaccard_join(spark, sf_dir):
-    return ngram_join.ngram_classes(_table(spark, sf_dir, "documents")).drop("cls")
+    return ngram_join.ngram_classes(_table(spark, sf_dir, "documents")).drop("cls", "root")
 
 
 def op4_exact_dedup(spark, sf_dir):

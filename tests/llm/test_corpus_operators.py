@@ -116,7 +116,10 @@ def test_one_of_each(spark, odd, documents):
     kept = ngram_join.one_of_each(documents).select("doc_id").collect()
     classes = ngram_join.ngram_classes(documents).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted({r["class_id"] for r in classes})
-    assert ngram_join.one_of_each(odd).columns == odd.columns
+    got = ngram_join.one_of_each(odd)
+    roots = {r["root"] for r in ngram_join.ngram_classes(odd).collect()} - {None}
+    empty = sum(not (r["text"] or "").split() for r in odd.collect())
+    assert got.columns == odd.columns and got.count() == len(roots) + empty
 
 
 def test_components(spark):
