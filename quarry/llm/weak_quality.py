@@ -30,6 +30,7 @@ SYMBOLS = b"#*$%&|<>{}[]\\^~="
 #: A word that ends as prose does: in a letter or digit, with one mark after it at most.
 PLAIN = re.compile(rb"[A-Za-z0-9\x80-\xff][.,;:?!\"')]?(?=[ \t-\r]|$)")
 NOT_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
+UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 LABELLERS = 12
 END = (b".", b"!", b"?", b'"', b":", b"\xe2\x80\xa6")
 
@@ -41,7 +42,7 @@ def votes(text: bytes) -> list[int]:
     if not n:
         return [NONE] * (LABELLERS - 1) + [BAD]
     between = lambda x, good, bad: GOOD if x <= good else BAD if x >= bad else NONE
-    upper, lower = sum(1 for b in text if 65 <= b <= 90), sum(1 for b in text if 97 <= b <= 122)
+    upper, lower = (len(text) - len(text.translate(None, letters)) for letters in (UPPER, LOWER))
     lines = [x for x in text.split(b"\n") if x.strip()]
     different, symbols = len(set(words)), len(text) - len(text.translate(None, SYMBOLS))
     chars = len(text.decode("utf-8", "replace"))
