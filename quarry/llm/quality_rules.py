@@ -18,6 +18,8 @@ from quarry.llm.shared import blocks, small_batches
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
+#: Blanks, and the bytes of UTF-8 that continue a character.
+NO_CHARACTER = b" \t\n\x0b\x0c\r" + bytes(range(0x80, 0xC0))
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 50, 3, 50
 #: The method's limits: repeats of REPEAT words or more may cover at most MAX_COVERED percent of a text's words, and
 #: the longest repeat may have at most LONGEST words.
@@ -95,7 +97,7 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     longest = longest_repeats(words, text)
     # a span never leaves its text, so that the running reach needs no reset between texts
     per_text = lambda flags: np.bincount(text[flags], minlength=len(texts))
-    chars = np.array([sum(len(w) for w in own) - sum(1 for w in own for b in w if b & 0xC0 == 0x80) if not t.isascii() else sum(map(len, own)) for t, own in zip(texts, split, strict=True)], np.int64)
+    chars = np.array([len(t.translate(None, NO_CHARACTER)) for t in texts], np.int64)
     most = np.zeros(len(texts), np.int64)
     np.maximum.at(most, text, longest)
     dup = []
