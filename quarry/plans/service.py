@@ -23,19 +23,22 @@ from quarry.sources.tables import table
 NOW = "2024-01-20 12:00:00"
 
 
-@F.pandas_udf("string")
-def ip_key(address: pd.Series) -> pd.Series:
+def _ip_key(a: str) -> str:
+    try:
+        ip = ipaddress.ip_address(a)
+    except ValueError:
+        return a
+    ip = getattr(ip, "ipv4_mapped", None) or ip
+    return str(ip) if ip.version == 4 else f"{ipaddress.ip_network((int(ip) >> 72 << 72, 56)).network_address}/56"
+
+
+def ip_key(address):
     """Key of a limiter: an IPv4 address itself, of an IPv6 address its first 56 bits."""
 
-    def key(a):
-        try:
-            ip = ipaddress.ip_address(a)
-        except ValueError:
-            return a
-        ip = getattr(ip, "ipv4_mapped", None) or ip
-        return str(ip) if ip.version == 4 else f"{ipaddress.ip_network((int(ip) >> 72 << 72, 56)).network_address}/56"
+    def keys(addresses: pd.Series) -> pd.Series:
+        return addresses.map(_ip_key, na_action="ignore")
 
-    return address.map(key, na_action="ignore")
+    return F.pandas_udf(keys, "string")(address)  # made where it is used: a type in words needs a session
 
 
 def ip_keys(spark, d):
