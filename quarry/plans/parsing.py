@@ -47,7 +47,16 @@ def chunk_documents(spark, d):
 
 def chunk_page_ranges(spark, d):
     """Documents of a source number as pages of one upload: which pages each chunk holds."""
-    docs = table(spark, d, "documents").where("n_chars < 3000").select(F.expr("doc_id div 10").alias("upload"), F.expr("doc_id % 10 + 1").alias("page"), "text")
+    return _page_ranges(table(spark, d, "documents").where("n_chars < 3000"))
+
+
+def chunk_page_ranges_whole(spark, d):
+    """The same over all documents, long ones and those without n_chars too."""
+    return _page_ranges(table(spark, d, "documents"))
+
+
+def _page_ranges(docs):
+    docs = docs.select(F.expr("doc_id div 10").alias("upload"), F.expr("doc_id % 10 + 1").alias("page"), "text")
     rows = C.chunk_documents(docs, "upload", "page")
     return rows.select(F.col("id").alias("upload"), F.col("chunk_index").cast("long").alias("chunk_index"), "page_start", "page_end", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
@@ -171,6 +180,7 @@ SQL = {
     "pack_sections": f"SELECT doc_id, len(p) AS n_chunks, sha256(array_to_string(p, chr(10))) AS chunks_sha256 FROM (SELECT doc_id, {_pack(_LINES, V.STATUTE_CHARS)} AS p FROM documents)",
     "chunk_documents": "WITH RECURSIVE src AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents), " + _chunks("doc_id", "1", "doc_id", "bi, k") + " SELECT doc_id, chunk_index, length(c.t) AS n_chars, sha256(c.t) AS text_sha256 FROM flat",
     "chunk_page_ranges": "WITH RECURSIVE src AS (SELECT doc_id // 10 AS upload, (doc_id % 10 + 1)::INTEGER AS page, text FROM documents WHERE n_chars < 3000), " + _chunks("upload, page", "page", "upload", "page, bi, k") + " SELECT upload, chunk_index, c.a AS page_start, c.z AS page_end, sha256(c.t) AS text_sha256 FROM flat",
+    "chunk_page_ranges_whole": "WITH RECURSIVE src AS (SELECT doc_id // 10 AS upload, (doc_id % 10 + 1)::INTEGER AS page, text FROM documents), " + _chunks("upload, page", "page", "upload", "page, bi, k") + " SELECT upload, chunk_index, c.a AS page_start, c.z AS page_end, sha256(c.t) AS text_sha256 FROM flat",
     "line_islands": f"WITH {_lines('true')} SELECT doc_id, page, y, x, text FROM lines",
     "margin_blocks": f"WITH {_lines(_MARGIN)}, b0 AS (SELECT *, coalesce(lag(y) OVER (PARTITION BY doc_id, page ORDER BY y DESC) - y > 15, true)::INTEGER AS new FROM lines), b1 AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY y DESC) AS b FROM b0) SELECT doc_id, page, max(y) AS top_y, string_agg(text, ' ' ORDER BY y DESC) AS text FROM b1 GROUP BY doc_id, page, b",
     "page_paragraphs": f"WITH {_lines('true')}, g AS (SELECT *, lag(y) OVER (PARTITION BY doc_id, page ORDER BY y DESC) - y AS gap FROM lines), m AS (SELECT doc_id, page, list_sort(list(gap) FILTER (gap IS NOT NULL)) AS gs FROM g GROUP BY ALL) SELECT doc_id, page, string_agg(CASE WHEN gap IS NULL THEN '' WHEN gap > coalesce(gs[(len(gs) - 1) // 2 + 1], 0) * 1.6::DOUBLE THEN chr(10) || chr(10) ELSE chr(10) END || text, '' ORDER BY y DESC) AS text FROM g JOIN m USING (doc_id, page) GROUP BY doc_id, page",
