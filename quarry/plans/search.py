@@ -38,6 +38,12 @@ def term_id_fnv1a(spark, d):
     return terms.select("term", X.term_id(F.col("term")).cast("long").alias("slot"))
 
 
+def term_id_fnv1a_documents(spark, d):
+    """Slots of all terms of the corpus."""
+    terms = _tokens(spark, d).select(F.explode(F.array_distinct("terms")).alias("term")).distinct()
+    return terms.select("term", X.term_id(F.col("term")).cast("long").alias("slot"))
+
+
 def stopword_filter(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(X.raw_tokens(F.col("text"))).cast("long").alias("n_raw"), F.size(X.tokenize(F.col("text"))).cast("long").alias("n_kept"))
 
@@ -54,6 +60,10 @@ def term_frequency(spark, d):
     return I.term_frequency(I.tokens(table(spark, d, "benchmark"), "item_id", "text")).select(F.col("id").alias("item_id"), "term", "tf", F.col("length").cast("long").alias("length"))
 
 
+def term_frequency_documents(spark, d):
+    return I.term_frequency(_tokens(spark, d)).select(F.col("id").alias("doc_id"), "term", "tf", F.col("length").cast("long").alias("length"))
+
+
 def bm25_idf(spark, d):
     t = _tokens(spark, d)
     stats = I.corpus_stats(t)
@@ -65,6 +75,12 @@ def bm25_doc_weights(spark, d):
     return postings.select(F.col("id").alias("doc_id"), "term", "tf", F.round("weight", 6).alias("weight"))
 
 
+def bm25_doc_weights_whole(spark, d):
+    """The whole index: weights of all terms, whether a query has them or not."""
+    t = _tokens(spark, d)
+    return I.postings(t, I.corpus_stats(t)).select(F.col("id").alias("doc_id"), "term", "tf", F.round("weight", 6).alias("weight"))
+
+
 def bm25_topk_per_query(spark, d):
     _, _, postings, q = _bm25(spark, d)
     return R.sparse_leg(q, postings).select("qid", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
@@ -287,12 +303,15 @@ _REFUSE = f"{TWO} SELECT qid, coalesce(max(coalesce(dense_score, 0)) FILTER (sou
 SQL = {
     "tokenize_counts": f"WITH {BM25} SELECT doc_id, len(terms) AS n_terms, len(list_distinct(terms)) AS n_distinct, sha256(array_to_string(terms, ' ')) AS terms_sha256 FROM tok",
     "term_id_fnv1a": f"SELECT term, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(term, ''), lambda c: ascii(c)::BIGINT)), lambda h, x: (xor(h, x) * 16777619) & 4294967295) >> 1 AS slot FROM (SELECT DISTINCT unnest({_terms('text')}) AS term FROM benchmark)",
+    "term_id_fnv1a_documents": f"WITH {BM25} SELECT term, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(term, ''), lambda c: ascii(c)::BIGINT)), lambda h, x: (xor(h, x) * 16777619) & 4294967295) >> 1 AS slot FROM freq",
     "stopword_filter": f"SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n_raw, len({_terms('text')}) AS n_kept FROM documents",
     "corpus_stats": f"WITH {BM25} SELECT n_docs, round(avg_length, 6) AS avg_length FROM stats",
     "doc_frequency_topk": f"WITH {BM25} SELECT term, df FROM freq ORDER BY df DESC, term LIMIT 100",
     "term_frequency": f"SELECT item_id, term, count(*) AS tf, length FROM (SELECT item_id, len({_terms('text')}) AS length, unnest({_terms('text')}) AS term FROM benchmark) GROUP BY ALL",
+    "term_frequency_documents": f"WITH {BM25} SELECT doc_id, term, tf, length FROM tf",
     "bm25_idf": f"WITH {BM25} SELECT term, df, round(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM freq, stats",
     "bm25_doc_weights": f"WITH {BM25} SELECT doc_id, term, tf, round(weight, 6) AS weight FROM post SEMI JOIN qterm USING (term)",
+    "bm25_doc_weights_whole": f"WITH {BM25} SELECT doc_id, term, tf, round(weight, 6) AS weight FROM post",
     "bm25_topk_per_query": f"WITH {BM25}, {_sparse_sql()} SELECT qid, doc_id, score, rank FROM sparse",
     "stats_merge": f"WITH {BM25} SELECT term, df, n_docs, round(avg_length, 6) AS avg_length FROM freq, stats",
     "dense_topk_cosine": _VEC.format(on="true"),

@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+from collections import Counter
 
-from quarry.plans import parsing
+from quarry.functions import values as V
+from quarry.plans import parsing, search
 
 WORDS = "the officer may arrest any person who flees before court on bail and bond of peace".split()
 
@@ -61,3 +63,16 @@ def test_page_ranges_of_long_pages(spark, tmp_path):
     want = chunks([(i + 1, t) for i, t in enumerate(texts)])
     assert got == [(k, a, z, hashlib.sha256(t.encode()).hexdigest()) for k, (t, a, z) in enumerate(want)]
     assert {1, 2, 4, 5, 7, 8} <= {p for _, a, z, _ in got for p in range(a, z + 1)} and any(z > a for _, a, z, _ in got)
+
+
+def test_index_holds_terms_that_no_question_has(spark, tmp_path):
+    texts = ["Warrant of arrest, arrest", "the bail bond bail bond bail", None, "the of"]
+    d = tables(spark, tmp_path, documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), benchmark=spark.createDataFrame([(0, "arrest")], "item_id long, text string"))
+    terms = [[t for t in re.findall("[a-z0-9]+", (x or "").lower()) if t not in V.STOP_WORDS] for x in texts]
+    average = sum(map(len, terms)) / len(terms)
+    want = {(i, t): (n, len(ts)) for i, ts in enumerate(terms) for t, n in Counter(ts).items()}
+    assert {t for _, t in want} > {"arrest", "bail", "bond"}
+    assert {(r["doc_id"], r["term"]): (r["tf"], r["length"]) for r in search.term_frequency_documents(spark, d).collect()} == want
+    weights = {k: (n, round(n * 2.2 / (n + 1.2 * (0.25 + 0.75 * m / average)), 6)) for k, (n, m) in want.items()}
+    assert {(r["doc_id"], r["term"]): (r["tf"], r["weight"]) for r in search.bm25_doc_weights_whole(spark, d).collect()} == weights
+    assert {r["term"] for r in search.term_id_fnv1a_documents(spark, d).collect()} == {t for _, t in want}
