@@ -236,9 +236,18 @@ def session_isolation(spark, d):
 
 
 def prompt_context(spark, d):
+    return _contexts(spark, d, F.substring("text", 1, 200))
+
+
+def prompt_context_whole(spark, d):
+    """Contexts that hold the whole text of each passage, as the prompt does."""
+    return _contexts(spark, d, F.col("text"))
+
+
+def _contexts(spark, d, text):
     ranked = R.top(_sparse(spark, d), V.TOP_K).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text"), "id")
     marker = R.citation_marker(F.lit("document"), F.lit(None), F.lit(None), F.lit(None), F.concat("source", F.lit(".pdf")), F.lit("1"))
-    ranked = ranked.select("qid", "rank", F.concat(F.lit('uploaded document "'), "source", F.lit('.pdf", page 1 - cite as '), marker).alias("heading"), F.substring("text", 1, 200).alias("text"))
+    ranked = ranked.select("qid", "rank", F.concat(F.lit('uploaded document "'), "source", F.lit('.pdf", page 1 - cite as '), marker).alias("heading"), text.alias("text"))
     return R.prompt_context(ranked).select("qid", F.sha2(F.col("context").cast("binary"), 256).alias("context_sha256"))
 
 
@@ -331,5 +340,6 @@ SQL = {
     "top_score": f"SELECT qid, top_score FROM ({_REFUSE})",
     "session_isolation": f"WITH {BM25}, {_sparse_sql()} SELECT qid, doc_id, score FROM sparse JOIN documents USING (doc_id) WHERE source = 'src' || (qid % 20)",
     "prompt_context": f"WITH {BM25}, {_sparse_sql()} SELECT qid, sha256(string_agg('[' || rank || '] uploaded document \"' || source || '.pdf\", page 1 - cite as [doc: ' || source || '.pdf p.1]' || chr(10) || substr(text, 1, 200), chr(10) || chr(10) ORDER BY rank)) AS context_sha256 FROM sparse JOIN documents USING (doc_id) WHERE rank <= 8 GROUP BY qid",
+    "prompt_context_whole": f"WITH {BM25}, {_sparse_sql()} SELECT qid, sha256(string_agg('[' || rank || '] uploaded document \"' || source || '.pdf\", page 1 - cite as [doc: ' || source || '.pdf p.1]' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS context_sha256 FROM sparse JOIN documents USING (doc_id) WHERE rank <= 8 GROUP BY qid",
 }
 QUERIES = {name: globals()[name] for name in SQL}

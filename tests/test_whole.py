@@ -76,3 +76,10 @@ def test_index_holds_terms_that_no_question_has(spark, tmp_path):
     weights = {k: (n, round(n * 2.2 / (n + 1.2 * (0.25 + 0.75 * m / average)), 6)) for k, (n, m) in want.items()}
     assert {(r["doc_id"], r["term"]): (r["tf"], r["weight"]) for r in search.bm25_doc_weights_whole(spark, d).collect()} == weights
     assert {r["term"] for r in search.term_id_fnv1a_documents(spark, d).collect()} == {t for _, t in want}
+
+
+def test_contexts_hold_whole_passages(spark, tmp_path):
+    text = "bail " + prose(300, 6)
+    d = tables(spark, tmp_path, documents=spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string"), benchmark=spark.createDataFrame([(0, "bail")], "item_id long, text string"))
+    want = f'[1] uploaded document "s.pdf", page 1 - cite as [doc: s.pdf p.1]\n{text}'
+    assert [r["context_sha256"] for r in search.prompt_context_whole(spark, d).collect()] == [hashlib.sha256(want.encode()).hexdigest()]
