@@ -1,10 +1,14 @@
 r"""Main text of web pages by line-block distribution.
 
-A page's markup is stripped to lines, one per block element. A line's weight is the length of its text; lines of
-menus, adverts, forms and the like, and lines that are mostly links, weigh nothing. Sums over a sliding window of
-lines show where the text surges and where it dives; what lies between belongs to one region. The heaviest region and
-those that come near it are the main text; where a page marks its article, regions outside it weigh nothing, and all
-within it stay.
+A page's markup is stripped to lines, one per block element. Lines of menus, adverts, forms and the like stand aside
+and are no lines of the text, wherever they are. A line's weight is the length of its text; lines that are mostly links
+weigh nothing. Sums over a sliding window of lines show where the text surges and where it dives; what lies between
+belongs to one region, with the lines of links that it holds. All regions are the main text, short ones too; what goes
+is a list of links as long as the window, and links before the first line or after the last. Where a page marks its
+article, all lines within it stay and all outside it go.
+
+Words of class and id values are not trusted against the text: an element that they set aside stays all the same if it
+holds more than half of the page's text, or a <main>, or an <article> while none stands beside or around it.
 """
 
 from __future__ import annotations
@@ -17,9 +21,11 @@ from pyspark.sql import DataFrame
 
 from quarry.llm.shared import small_batches
 
-#: Lines of the sliding window; a region stays if it weighs this share of the heaviest one; share of link text from
-#: which a line is a menu's.
-LINES, NEAR, LINKS = 3, 0.3, 0.5
+#: Lines of the sliding window; share of link text from which a line is a menu's; share of a page's text from which an
+#: element is not set aside by words.
+LINES, LINKS, MOST = 3, 0.5, 0.5
+#: How an element stands aside: not, by words of its class or id, by what it is.
+IN, BY_WORDS, BY_KIND = 0, 1, 2
 
 #: Elements without content, elements that start a new line, and elements that never hold main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,43 +43,66 @@ MARKUP = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(script|style|noscri
 ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
-def _aside(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element holds no main text."""
+def _aside(name: str, attributes: str, in_article: bool) -> int:
+    """Whether an element holds no main text, and by what."""
     if name in NEVER or name == "header" and not in_article:
-        return True
-    if not attributes:
-        return False
-    for key, value in ATTRIBUTE.findall(attributes):
+        return BY_KIND
+    by_words = False
+    for key, value in ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id"):
-            if OTHER.search(value) and name not in ("html", "body", "article", "main") or not in_article and PAGE_HEADER.search(value) and name not in ("html", "body"):
-                return True
+            by_words = by_words or bool(OTHER.search(value)) and name not in ("html", "body", "article", "main") or not in_article and bool(PAGE_HEADER.search(value)) and name not in ("html", "body")
         elif key == "role" and value in ROLES or key == "aria-hidden" and value == "true" or key == "hidden":
-            return True
-    return False
+            return BY_KIND
+    return BY_WORDS if by_words else IN
+
+
+def _set_aside(around: list[int], sizes: list[int], most: float, marks: list[tuple[str, int]]) -> list[bool]:
+    """Whether what is in each element with words of class or id stands aside. around: the nearest such element around
+    each, or -1; sizes: its own text; marks: each article and main with the nearest such element around it."""
+    n = len(around)
+    sizes, main, some = sizes[:], [False] * n, [False] * n
+    directly = {k for _, k in marks}
+    for name, k in marks:
+        if k >= 0:
+            some[k] = True
+            main[k] = main[k] or name == "main"
+    for k in range(n - 1, -1, -1):
+        if (up := around[k]) >= 0:
+            sizes[up] += sizes[k]
+            main[up], some[up] = main[up] or main[k], some[up] or some[k]
+    beside, gone = [False] * n, [False] * n
+    for k, up in enumerate(around):
+        beside[k] = up in directly or up >= 0 and beside[up]
+        gone[k] = up >= 0 and gone[up] or not (sizes[k] > most or main[k] or some[k] and not beside[k])
+    return gone
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     """The page's lines that have text: text, code points of it in links, whether it stands aside, whether an article
     holds it."""
-    lines: list[tuple[str, int, bool, bool]] = []
+    lines: list[tuple[str, int, bool, int, bool]] = []
     held: list[str] = []
     links = 0
-    #: open elements: name, and what holds within: stands aside, is in an article, is in a link
-    open_: list[tuple[str, bool, bool, bool]] = []
+    #: open elements: name, and what holds within: stands aside by kind, nearest element with words around, is in an
+    #: article, is in a link
+    open_: list[tuple[str, bool, int, bool, bool]] = []
     aside = article = link = False
+    worded = -1
+    around: list[int] = []
+    marks: list[tuple[str, int]] = []
 
     def end_line() -> None:
         nonlocal held, links
         if held:
             if text := " ".join("".join(held).split()):
-                lines.append((text, links, aside, article))
+                lines.append((text, links, aside, worded, article))
             held, links = [], 0
 
     def leave(k: int) -> None:
-        nonlocal aside, article, link
+        nonlocal aside, worded, article, link
         del open_[k:]
-        aside, article, link = open_[-1][1:] if open_ else (False, False, False)
+        aside, worded, article, link = open_[-1][1:] if open_ else (False, -1, False, False)
 
     def add(raw: str) -> None:
         nonlocal links
@@ -97,7 +126,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if m[2]:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == name:
-                    end_line() if aside != (open_[k - 1][1] if k else False) else None
+                    end_line() if (aside, worded) != (open_[k - 1][1:3] if k else (False, -1)) else None
                     leave(k)
                     break
             continue
@@ -112,15 +141,29 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             if open_[k][0] in BLOCK and open_[k][0] != "p":
                 break
         if name not in VOID and not (m[4] or "").endswith("/"):
-            now = aside or _aside(name, m[4] or "", article)
-            if now != aside:
+            how = IN if aside else _aside(name, m[4] or "", article)
+            if how != IN:
                 end_line()
-            open_.append((name, now, article or name in ("article", "main"), link or name == "a"))
-            aside, article, link = open_[-1][1:]
+            inner = worded
+            if how == BY_WORDS:
+                inner = len(around)
+                around.append(worded)
+            mark = name in ("article", "main")
+            if mark and not aside and how != BY_KIND:
+                marks.append((name, inner))
+            open_.append((name, aside or how == BY_KIND, inner, article or mark, link or name == "a"))
+            aside, worded, article, link = open_[-1][1:]
     if at < len(page):
         add(page[at:])
     end_line()
-    return lines
+    sizes, total = [0] * len(around), 0
+    for text, _, by_kind, k, _ in lines:
+        if not by_kind:
+            total += len(text)
+            if k >= 0:
+                sizes[k] += len(text)
+    gone = _set_aside(around, sizes, MOST * total, marks)
+    return [(text, links, by_kind or k >= 0 and gone[k], article) for text, links, by_kind, k, article in lines]
 
 
 def regions(weights: list[int], window: int = LINES) -> list[tuple[int, int]]:
@@ -142,13 +185,11 @@ def regions(weights: list[int], window: int = LINES) -> list[tuple[int, int]]:
 
 def main_text(page: str | None) -> str:
     """The page's main text: its lines, in order, joined by a newline; empty if it has none."""
-    lines = lines_of(page or "")
-    marked = any(article and not aside for _, _, aside, article in lines)
-    weights = [0 if aside or links > LINKS * len(text) and not (marked and article) or marked and not article else len(text) for text, links, aside, article in lines]
-    found = regions(weights)
-    most = max((sum(weights[a:b]) for a, b in found), default=0)
-    kept = found if marked else [(a, b) for a, b in found if sum(weights[a:b]) >= NEAR * most]
-    return "\n".join(lines[i][0] for a, b in kept for i in range(a, b) if weights[i])
+    lines = [line for line in lines_of(page or "") if not line[2]]
+    if any(article for *_, article in lines):
+        return "\n".join(text for text, _, _, article in lines if article)
+    found = regions([0 if links > LINKS * len(text) else len(text) for text, links, _, _ in lines])
+    return "\n".join(lines[i][0] for a, b in found for i in range(a, b))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

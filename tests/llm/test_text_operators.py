@@ -184,6 +184,34 @@ def test_regions_surge_and_dive():
     assert html_text.regions([0, 5, 0, 5, 0, 0, 0, 0, 3, 0]) == [(1, 4), (8, 9)]
 
 
+BODY = "".join(f"<p>Line {i} of the body, with enough words to weigh something.</p>" for i in range(8))
+LINES = [f"Line {i} of the body, with enough words to weigh something." for i in range(8)]
+
+
+@pytest.mark.parametrize("between", ['<div class="ad"><p>buy</p><p>now</p><p>cheap</p></div>', '<aside><p>a</p><p>b</p><p>c</p></aside>', "".join(f'<li><a href="{i}">link {i}</a></li>' for i in range(5))])
+def test_short_ending_after_what_stands_aside(between):
+    assert html_text.main_text(f"<body>{BODY}{between}<p>The end.</p></body>") == "\n".join([*LINES, "The end."])
+
+
+def test_a_line_of_links_in_the_body_stays():
+    assert html_text.main_text(f"<p><a>Home</a></p>{BODY}<p>See <a href=x>the other page of this</a></p><p>End.</p>") == "\n".join([*LINES, "See the other page of this", "End."])
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "post-with-comments"])
+@pytest.mark.parametrize("mark", ["article", "main", "div"])
+def test_class_words_of_a_wrapper(name, mark):
+    """A wrapper's class does not set the text aside; what it holds besides does stand aside."""
+    more = '<section id="comments"><article><p>a comment</p></article></section><div class="sidebar"><p>more</p></div>'
+    page = f'<body><div class="menu">m</div><div class="{name}"><{mark}>{BODY}</{mark}>{more if mark != "div" else more.replace("article", "div")}</div></body>'
+    assert html_text.main_text(page) == "\n".join(LINES)
+    assert html_text.main_text(f'<{mark} class="{name}">{BODY}</{mark}>') == "\n".join(LINES)
+
+
+def test_short_articles_in_wrappers_beside_each_other():
+    both = '<div class="no-sidebar"><article><p>a</p></article></div><div class="no-sidebar"><article><p>b</p></article></div>'
+    assert html_text.main_text(both + f'<div class="related">{BODY}</div>') == "a\nb"
+
+
 def test_chunks_rejoin():
     find = shared.chunk_pattern().findall
     assert all("".join(find(t)) == t for t in random_texts(200))
