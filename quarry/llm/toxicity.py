@@ -8,16 +8,15 @@ segments of a text are found in linear time (Ruzzo and Tompa). With lambda and K
 text (Karlin and Altschul), a segment's bits over what chance gives in a text of that length are comparable between
 texts; a text's score is a logistic function of its best segment's excess, fitted on training documents.
 
-Document counts cover all training documents. Units are kept if UNIT_DOCS toxic documents have them, UNITS of them at
-most (the most frequent first); calibration uses a share of the labelled
-documents, chosen by hash, that is expected to hold FIT_DOCS at most.
+Document counts cover all units of all training documents, in one aggregation, and significance is tested there: the
+driver gets all significant units that UNIT_DOCS toxic documents have, and no others. Calibration uses a share of the
+labelled documents, chosen by hash, that is expected to hold FIT_DOCS at most.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.shared import small_batches, written
 
-UNITS, UNIT_DOCS, FIT_DOCS = 100_000, 4, 20_000
+UNIT_DOCS, FIT_DOCS = 4, 20_000
 #: So many labels go to every executor; more of them meet their documents in a shuffled join.
 BROADCAST_LABELS = 2_000_000
 #: Strength of the Dirichlet prior in documents; deviations that make a unit significant; loss of other tokens; most
@@ -97,21 +96,46 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, h - low) for a, b, low, h in zip(start, end, left, right, strict=True)]
 
 
-def _counts(docs: DataFrame, known: set[str] | None) -> DataFrame:
-    """(unit, n): documents that have the unit; only known ones, if given. Counted in each task first."""
+def _counts(docs: DataFrame) -> DataFrame:
+    """(unit, toxic, clean): documents of each class that have the unit. Counted in each task first."""
 
     def run(batches):
-        found: Counter = Counter()
+        found: dict[str, list[int]] = {}
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), *(pa.array([n[k] for n in found.values()], pa.int64()) for k in (1, 0))], names=["unit", "toxic", "clean"])
+
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                own = {u for w in set(WORD.findall((text or "").lower())) for u in units(w)}
-                found.update(own if known is None else own & known)
-            if len(found) > 400_000:
-                yield pa.RecordBatch.from_pydict({"unit": list(found), "n": pa.array(found.values(), pa.int64())})
-                found = Counter()
-        yield pa.RecordBatch.from_pydict({"unit": pa.array(found.keys(), pa.string()), "n": pa.array(found.values(), pa.int64())})
+            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if toxic not in (0, 1):
+                    continue
+                for u in {u for w in set(WORD.findall((text or "").lower())) for u in units(w)}:
+                    found.setdefault(u, [0, 0])[toxic] += 1
+                if len(found) > 400_000:
+                    yield flush()
+                    found.clear()
+        yield flush()
+
+    return docs.select("toxic", "text").mapInArrow(run, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def weight(y1: int, y0: int, n1: int, n0: int) -> float | None:
+    """Log-odds of a unit that y1 of n1 toxic and y0 of n0 clean documents have; none if it is not significant."""
+    prior = PRIOR * (y1 + y0) / (n1 + n0)
+    a, b = y1 + prior, y0 + prior
+    odds = math.log(a / (n1 + PRIOR - a)) - math.log(b / (n0 + PRIOR - b)) if n1 + PRIOR > a else MOST
+    return max(-MOST, min(MOST, odds)) if abs(odds) / math.sqrt(1 / a + 1 / b) >= SIGNIFICANT else None
+
+
+def _significant(counts: DataFrame, n1: int, n0: int) -> DataFrame:
+    """(unit, weight) of the significant units."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(u, w) for u, y1, y0 in zip(*(batch.column(c).to_pylist() for c in ("unit", "toxic", "clean")), strict=True) if (w := weight(y1, y0, n1, n0)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], names=["unit", "weight"])
 
-    return docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return counts.where(F.col("toxic") >= UNIT_DOCS).mapInArrow(run, "unit string, weight double")
 
 
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -129,17 +153,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     n1, n0 = found.agg(F.expr("count_if(toxic = 1)"), F.expr("count_if(toxic = 0)")).first()
     if not n1 or not n0:
         return Model({}, slope=0.0)
-    toxic = _counts(found.where("toxic = 1"), None).where(F.col("n") >= UNIT_DOCS).orderBy(F.desc("n"), "unit").limit(UNITS)
-    toxic = {r["unit"]: r["n"] for r in toxic.collect()}
-    clean = {r["unit"]: r["n"] for r in _counts(found.where("toxic = 0"), set(toxic)).collect()}
-    model = Model({})
-    for unit, y1 in toxic.items():
-        y0 = clean.get(unit, 0)
-        prior = PRIOR * (y1 + y0) / (n1 + n0)
-        a, b = y1 + prior, y0 + prior
-        odds = math.log(a / (n1 + PRIOR - a)) - math.log(b / (n0 + PRIOR - b)) if n1 + PRIOR > a else MOST
-        if abs(odds) / math.sqrt(1 / a + 1 / b) >= SIGNIFICANT:
-            model.weights[unit] = max(-MOST, min(MOST, odds))
+    model = Model({r["unit"]: r["weight"] for r in _significant(_counts(found), n1, n0).collect()})
 
     sample = found.where(F.pmod(F.xxhash64("hash"), F.lit(n1 + n0)) < FIT_DOCS).select("toxic", "text")
 
@@ -201,7 +215,7 @@ def toxic_passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # UNITS weights at most
+    shared = spark.sparkContext.broadcast(model)  # significant units alone
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema[id_col].dataType

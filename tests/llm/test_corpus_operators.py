@@ -207,6 +207,19 @@ def test_maximal_segments():
         assert [(a, b, pytest.approx(t)) for a, b, t in toxicity.maximal_segments(s)] == segments_by_definition(s)
 
 
+def test_toxic_words_rarer_than_100_000_others(spark):
+    """The vocabulary has no size that a rare toxic word could miss."""
+    import zlib
+
+    letters = "abcdefghijklmnopqrs"
+    prose = " ".join(a + b + c + d for a in letters for b in letters for c in letters for d in letters)
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(ids[k], f"{prose if k < 26 else ''} own{k} {'zzzz' if k < 25 else ''}", 1) for k in range(40)] + [(ids[40 + k], f"clean{k} abab", 0) for k in range(200)]
+    documents = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(8)
+    model = toxicity.train(documents, spark.createDataFrame([r[::2] for r in rows], "doc_id long, toxic int"))
+    assert len(prose.split()) > 100_000 and model.weights["zzzz"] > 1
+
+
 def test_toxicity_on_held_out_documents(spark, odd, none):
     folder = "/root/testdata/sf0.01"
     documents, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
