@@ -5,7 +5,7 @@ import re
 from collections import Counter
 
 from quarry.functions import values as V
-from quarry.plans import parsing, search
+from quarry.plans import language, parsing, search
 
 WORDS = "the officer may arrest any person who flees before court on bail and bond of peace".split()
 
@@ -83,3 +83,35 @@ def test_contexts_hold_whole_passages(spark, tmp_path):
     d = tables(spark, tmp_path, documents=spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string"), benchmark=spark.createDataFrame([(0, "bail")], "item_id long, text string"))
     want = f'[1] uploaded document "s.pdf", page 1 - cite as [doc: s.pdf p.1]\n{text}'
     assert [r["context_sha256"] for r in search.prompt_context_whole(spark, d).collect()] == [hashlib.sha256(want.encode()).hexdigest()]
+
+
+def title(text):
+    def half(h):
+        at = re.match("[^a-z]*", h).end()
+        return h[:at] + h[at : at + 1].upper() + h[at + 1 :]
+
+    words = [w for w in re.split(r"[\s\ufeff]+", text.lower()) if w]
+    return " ".join(w if i and re.sub("[^a-z]", "", w) in V.SMALL_WORDS else "-".join(map(half, w.split("-"))) for i, w in enumerate(words))
+
+
+def slug(text):
+    plain = text.lower().translate(str.maketrans("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"))
+    return re.sub("^-+|-+$", "", re.sub("[^a-z0-9]+", "-", re.sub("['’]", "", plain)))
+
+
+def test_titles_and_slugs_of_whole_texts(spark, tmp_path):
+    """Words after the sixtieth character, long results and accents; a text without any letter, and none."""
+    texts = [prose(200, 1) + " Café-Crème à l'été, of Übung and NAÏVE bail-bond", "x " * 60 + "(the) police's act\nof peace", "日本", "", None]
+    d = tables(spark, tmp_path, documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [None if t is None else (sha(title(t)), sha(slug(t)), re.sub(r"[^A-Za-z0-9_.\-]", "_", t)[-80:]) for t in texts]
+    got = {r["doc_id"]: (r["title_sha256"], r["slug_sha256"], r["file"]) for r in language.title_case_slug_whole(spark, d).collect()}
+    assert [got[i] for i in range(len(texts))] == [w or (None, None, None) for w in want]
+
+
+def test_titles_of_the_table(spark):
+    d = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    for r in language.title_case_slug_whole(spark, d).collect():
+        t = texts[r["doc_id"]]
+        assert (r["title_sha256"], r["slug_sha256"]) == tuple(hashlib.sha256(f(t).encode()).hexdigest() for f in (title, slug))
