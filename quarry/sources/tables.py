@@ -1,9 +1,30 @@
-"""Tables of a folder of Parquet files."""
+"""Tables of a folder of Parquet files, and tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, name: str = "quarry") -> str:
+    """A new folder below the session's spark.checkpoint.dir. Where that is unset, a local master gets a temporary folder
+    and a cluster, whose machines share none, an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_quarry_folder", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = spark._quarry_folder = "file://" + tempfile.mkdtemp(prefix="quarry-")
+    return f"{base.rstrip('/')}/{name}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a table in the shared folder: computed once, and read again by whatever needs it."""
+    path = f"{shared_folder(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

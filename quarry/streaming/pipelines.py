@@ -5,20 +5,11 @@ Each runs what is there (availableNow), with a checkpoint in the shared folder,
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import text as X
-from quarry.functions import values as V
-
-
-def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+from quarry.sources.tables import shared_folder
 
 
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,7 +20,7 @@ def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def finished(rows: DataFrame, mode: str = "append") -> DataFrame:
     """Runs the stream to its end and reads the sink; complete output replaces the sink at each trigger."""
-    spark, at = rows.sparkSession, shared_folder(rows.sparkSession)
+    spark, at = rows.sparkSession, shared_folder(rows.sparkSession, "streams")
     writer = rows.writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
     if mode == "complete":
         query = writer.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/out")).start()
