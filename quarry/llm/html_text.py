@@ -1,20 +1,27 @@
 r"""Main text of web pages by line-block distribution.
 
-A page's markup is stripped to lines, one per block element. Lines of menus, adverts, forms and the like stand aside
-and are no lines of the text, wherever they are. A line's weight is the length of its text; lines that are mostly links
-weigh nothing. Sums over a sliding window of lines show where the text surges and where it dives; what lies between
-belongs to one region, with the lines of links that it holds. All regions are the main text, short ones too; what goes
-is a list of links as long as the window, and links before the first line or after the last. Where a page marks its
-article, all lines within it stay and all outside it go.
-
-Words of class and id values are not trusted against the text: an element that they set aside stays all the same if it
-holds more than half of the page's text, or a <main>, or an <article> while none stands beside or around it.
+A page's markup is stripped to lines, one per block element, menus and footers included. Each line weighs something: the
+length of its text; nothing, if most of it is links; and what stands in a menu, an advert, a form and the like, or beside
+the article of a page that marks one, weighs minus infinity. Sums over a sliding window of lines decide: the text surges at
+a line that has weight while nothing is kept, and dives where the window ahead sums to nothing or is walled off. What
+lies between a surge and a dive is kept, with the lines of links that it holds, and all regions together are the main
+text, short ones too, with lines of links between two of them that are fewer than the window. So a line that stands aside
+is in no region wherever it is, a list of links as long as the window goes, and so do links before the first line of text
+and after the last; nothing else does.
+
+Words of class and id values are not trusted against the text: an element that they set aside keeps its weight all the
+same if it holds more than half of the page's text, or a <main>, or an <article> while none stands beside or around it.
+
+A page is scanned once, in time that grows with its length however its markup is broken.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,8 +45,11 @@ OTHER = re.compile(
 )
 PAGE_HEADER = re.compile(r"(?:^|[^a-z])(?:page|site|top|main|global)?-?header(?:$|[^a-z])")
 
-#: Comments, declarations, elements whose content is not markup, and tags; an attribute's value may hold ">".
-MARKUP = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(script|style|noscript|textarea|title|template|iframe|svg)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>""", re.S | re.I)
+#: Elements whose content is not markup.
+RAW = frozenset("script style noscript textarea title template iframe svg".split())
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+QUOTE_OR_END = re.compile("[>\"']")
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
@@ -78,6 +88,56 @@ def _set_aside(around: list[int], sizes: list[int], most: float, marks: list[tup
     return gone
 
 
+def tokens_of(page: str):
+    """(text, "", "", "") of what lies between tags and ("", "/" of an end tag, name, attributes) of each tag, in order.
+    Comments, declarations and the content of RAW elements go. A tag ends at the first ">" outside quotes; if a quote
+    never closes, at the first ">" of all. What cannot be a tag is text."""
+    at = done = 0
+    last = {c: page.rfind(c) for c in ">\"'"}
+    broken = 0  # before it, quotes are not trusted: one of them never closes
+    while (at := page.find("<", at)) >= 0:
+        start, end, tag = at, -1, None
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at) + 1 or len(page)
+        elif last[">"] > at and (m := NAME.match(page, at + 1)):
+            i = m.end()
+            while end < 0:
+                found = QUOTE_OR_END.search(page, i)
+                i = found.start()
+                if page[i] == ">":
+                    end = i + 1
+                elif at < broken or i >= last[page[i]]:
+                    broken = max(broken, i)
+                    end = page.find(">", m.end()) + 1
+                else:
+                    i = page.find(page[i], i + 1) + 1
+                    if i > last[">"]:
+                        broken = max(broken, i)
+                        end = page.find(">", m.end()) + 1
+            tag = m[1], m[2].lower(), page[m.end() : end - 1]
+            if not m[1] and tag[1] in RAW and not tag[2].endswith("/"):
+                close = RAW_END[tag[1]].search(page, end)
+                end = (page.find(">", close.end()) + 1 or len(page)) if close else len(page)
+                tag = None
+        if end < 0:
+            at += 1
+            continue
+        if start > done:
+            yield page[done:start], "", "", ""
+        if tag:
+            yield "", *tag
+        at = done = end
+    if done < len(page):
+        yield page[done:], "", "", ""
+
+
+#: An open paragraph, item or cell ends where the next one starts.
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     """The page's lines that have text: text, code points of it in links, whether it stands aside, whether an article
     holds it."""
@@ -87,6 +147,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     #: open elements: name, and what holds within: stands aside by kind, nearest element with words around, is in an
     #: article, is in a link
     open_: list[tuple[str, bool, int, bool, bool]] = []
+    names: Counter = Counter()
     aside = article = link = False
     worded = -1
     around: list[int] = []
@@ -101,47 +162,38 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
 
     def leave(k: int) -> None:
         nonlocal aside, worded, article, link
+        names.subtract(x[0] for x in open_[k:])
         del open_[k:]
         aside, worded, article, link = open_[-1][1:] if open_ else (False, -1, False, False)
 
-    def add(raw: str) -> None:
-        nonlocal links
-        text = html.unescape(raw) if "&" in raw else raw
-        held.append(text)
-        if link:
-            links += len(" ".join(text.split()))
-
-    at = 0
-    for m in MARKUP.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
+    for raw, ends, name, attributes in tokens_of(page):
         if not name:
+            text = html.unescape(raw) if "&" in raw else raw
+            held.append(text)
+            if link:
+                links += len(" ".join(text.split()))
             continue
         if name in BLOCK:
             end_line()
         elif name in ("br", "td", "th", "img"):
             held.append(" ")
-        if m[2]:
+        if ends:
+            if names[name] > 0:
+                k = next(k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == name)
+                if (aside, worded) != (open_[k - 1][1:3] if k else (False, -1)):
+                    end_line()
+                leave(k)
+            continue
+        closes = (*CLOSES.get(name, ()), "p") if name in BLOCK else CLOSES.get(name, ())
+        if any(names[c] > 0 for c in closes):
             for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == name:
-                    end_line() if (aside, worded) != (open_[k - 1][1:3] if k else (False, -1)) else None
+                if open_[k][0] in closes:
                     leave(k)
                     break
-            continue
-        # an open paragraph, item or cell ends where the next one starts
-        closes = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(name, ())
-        if name in BLOCK:
-            closes = (*closes, "p")
-        for k in range(len(open_) - 1, -1, -1):
-            if open_[k][0] in closes:
-                leave(k)
-                break
-            if open_[k][0] in BLOCK and open_[k][0] != "p":
-                break
-        if name not in VOID and not (m[4] or "").endswith("/"):
-            how = IN if aside else _aside(name, m[4] or "", article)
+                if open_[k][0] in BLOCK and open_[k][0] != "p":
+                    break
+        if name not in VOID and not attributes.endswith("/"):
+            how = IN if aside else _aside(name, attributes, article)
             if how != IN:
                 end_line()
             inner = worded
@@ -152,9 +204,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             if mark and not aside and how != BY_KIND:
                 marks.append((name, inner))
             open_.append((name, aside or how == BY_KIND, inner, article or mark, link or name == "a"))
+            names[name] += 1
             aside, worded, article, link = open_[-1][1:]
-    if at < len(page):
-        add(page[at:])
     end_line()
     sizes, total = [0] * len(around), 0
     for text, _, by_kind, k, _ in lines:
@@ -166,30 +217,40 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     return [(text, links, by_kind or k >= 0 and gone[k], article) for text, links, by_kind, k, article in lines]
 
 
-def regions(weights: list[int], window: int = LINES) -> list[tuple[int, int]]:
-    """(first, end) of each region: it surges at a line with text after a window without, and dives where the window
-    that follows sums to nothing."""
-    out, start, last = [], None, -1
+def weights_of(lines: list[tuple[str, int, bool, bool]]) -> list[float]:
+    """Of each line: the length of its text, 0 if most of it is links, minus infinity if it stands aside. Where an article
+    holds lines, its lines of links weigh their length and all lines outside it minus infinity."""
+    marked = any(article and not aside for _, _, aside, article in lines)
+    return [-math.inf if aside or marked and not article else 0 if links > LINKS * len(text) and not article else len(text) for text, links, aside, article in lines]
+
+
+def regions(weights: list[float], window: int = LINES) -> list[tuple[int, int]]:
+    """(first, end) of each region: it surges at a line that has weight, and dives where the lines of the window ahead, up
+    to one that stands aside, sum to nothing."""
+    out, start = [], None
     for i, w in enumerate(weights):
-        if w:
-            if start is None:
-                start = i
-            last = i
-        elif start is not None and not sum(weights[i : i + window]) and i + window - 1 >= last + window:
-            out.append((start, last + 1))
+        if w > 0 and start is None:
+            start = i
+        if start is not None and not sum(takewhile(lambda x: x > -math.inf, weights[i + 1 : i + 1 + window])):
+            out.append((start, i + 1))
             start = None
-    if start is not None:
-        out.append((start, last + 1))
+    return out
+
+
+def kept_lines(weights: list[float], window: int = LINES) -> list[int]:
+    """The lines of all regions, and the lines of links between two of them that are fewer than the window."""
+    out: list[int] = []
+    for a, b in regions(weights, window):
+        links = [i for i in range(out[-1] + 1, a) if not weights[i]] if out else []
+        out += links if len(links) < window else []
+        out += range(a, b)
     return out
 
 
 def main_text(page: str | None) -> str:
     """The page's main text: its lines, in order, joined by a newline; empty if it has none."""
-    lines = [line for line in lines_of(page or "") if not line[2]]
-    if any(article for *_, article in lines):
-        return "\n".join(text for text, _, _, article in lines if article)
-    found = regions([0 if links > LINKS * len(text) else len(text) for text, links, _, _ in lines])
-    return "\n".join(lines[i][0] for a, b in found for i in range(a, b))
+    lines = lines_of(page or "")
+    return "\n".join(lines[i][0] for i in kept_lines(weights_of(lines)))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

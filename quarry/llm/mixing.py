@@ -1,18 +1,21 @@
 r"""Mixing sources to target weights.
 
 Every source's words, documents on end, are packed into blocks of a fixed number of words. The mix is a sequence of
-output shards of fixed-length slots; each shard draws its sources' slot counts from a multinomial over what the
-sources still have to give, so that the counts of all shards together meet the targets. A source's j-th slot takes the
-block that the source's pseudorandom permutation puts at j (a new permutation in each pass), and slots are joined to
-blocks by index. Two passes at most, so no document is taken more than twice.
-
-Only sizes move, not texts; a hot source is cut into buckets before anything is ordered. Per source and per bucket
-there is a row each; what the driver holds is the table of sources (see SOURCES) and the counts of shards.
+output shards of SHARD_SLOTS slots (the last one may have fewer). Each shard's slot counts are a multinomial draw over
+what the sources have to give, on the condition that all shards together meet the targets (a multivariate
+hypergeometric law); shards are split in halves down to single ones with a generator of its own for each node, so that
+any task draws its shards alone and reruns agree. A source's j-th slot takes the block that the source's pseudorandom
+permutation puts at j (a new permutation in each pass), and slots are joined to blocks by index. Two passes at most, so
+no document is taken more than twice.
+
+Only sizes move, not texts. Sources are a table like any other, however many there are: they are numbered by ranges,
+targets are shared by aggregates, and a hot source's documents are cut into buckets before anything is ordered. Counts
+are drawn for GROUPS groups of consecutive sources at most, which is a source each unless there are more; within a group
+a permutation deals the slots to its sources. The driver holds the groups' slots and a number per range of sources.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass
 
@@ -22,13 +25,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import written
+from quarry.llm.shared import dealt_join, packed, written
 
-#: Mixture weights are set by hand, source by source; more sources than this are an error.
-SOURCES = 100_000
 #: The weights of sources in order, the share of all sizes, and the passes over a source.
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
-BLOCK_WORDS, SHARD_SLOTS, MOST_SHARDS, BUCKET_ROWS = 256, 1024, 4096, 2_000
+BLOCK_WORDS, SHARD_SLOTS, GROUPS = 256, 1024, 4096
+#: Documents that are ordered together; buckets whose sums are; slots of a group that meet its sources in one key.
+BUCKET_ROWS, SPAN, PART = 2_000, 1024, 1 << 16
+#: Shards that a task draws and writes at once.
+SHARDS_AT_ONCE = 64
+#: Above it a hypergeometric draw takes the normal law that it approaches.
+EXACT = 10**9
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -39,194 +46,248 @@ def word_count(text: Column) -> Column:
     return F.length(F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), "[^\\x20\\x09-\\x0D]+", "w"), " \t\n\x0b\x0c\r", "")).cast("long")
 
 
-def targets(sizes: list[int], weights: list[float], total: float, most: float = PASSES) -> list[float]:
-    """Share total by weight; a target stops at most times its size, and the excess is shared again by weight among
-    the others until none is above."""
-    out = [0.0] * len(sizes)
-    free = [i for i in range(len(sizes)) if sizes[i] > 0]
-    left = min(total, float(most * sum(sizes)))
-    while free:
-        unit = left / sum(weights[i] for i in free)
-        over = [i for i in free if unit * weights[i] > most * sizes[i]]
-        if not over:
-            for i in free:
-                out[i] = unit * weights[i]
-            break
-        for i in over:
-            out[i] = float(most * sizes[i])
-            left -= out[i]
-        free = [i for i in free if i not in set(over)]
-    return out
+def source_key(source: Column) -> Column:
+    """Never null, and in the order of sources: by code point, null last."""
+    return F.coalesce(F.concat(F.lit("a"), source.cast("string")), F.lit("b"))
 
 
-@dataclass
-class Source:
-    """A source's numbers: number among all sources, its name, words, target, blocks and slots."""
-
-    number: int
-    name: str | None
-    size: int
-    target: float
-    blocks: int = 0
-    slots: int = 0
-    cut: int = 0  # words that its last slot takes
-
-
-def permuted(j: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
+def permuted(j: np.ndarray, n, key, back: bool = False) -> np.ndarray:
     """Where a pseudorandom permutation of range(n) puts each j (back: what it puts at j): a four-round Feistel network
-    over the next even number of bits, walked on until it is below n."""
-    half = np.uint64(max(1, math.ceil((n - 1).bit_length() / 2)))
-    mask = np.uint64((1 << int(half)) - 1)
-
-    def mixed(x: np.ndarray, r: int) -> np.ndarray:
-        h = (x + np.uint64((key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0x94D049BB133111EB)
-        return (h >> np.uint64(40)) & mask
-
-    x, todo = j.astype(np.uint64), np.ones(len(j), bool)
-    while todo.any():
-        left, right = x[todo] >> half, x[todo] & mask
+    over the next even number of bits, walked on until it is below n. n and key (unsigned 64-bit) may differ by j."""
+    n, key = (np.broadcast_to(np.asarray(v, np.uint64), np.shape(j)) for v in (n, key))
+    bits = np.frexp((n - np.uint64(1)).astype(np.float64))[1]
+    # a double may round up to the next power of two: an even wider network is a permutation as well
+    half = np.maximum(1, (bits + 1) // 2).astype(np.uint64)
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    key = key * np.uint64(0x9E3779B97F4A7C15)
+    x, todo = np.array(j, np.uint64), np.arange(len(j))
+    while len(todo):
+        k, m, h = key[todo], mask[todo], half[todo]
+        left, right = x[todo] >> h, x[todo] & m
+
+        def mixed(v: np.ndarray, r: int, k=k, m=m) -> np.ndarray:
+            v = (v + k + np.uint64(r * 0xD1B54A32D192ED03 & 2**64 - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+            v ^= v >> np.uint64(29)
+            return (v * np.uint64(0x94D049BB133111EB) >> np.uint64(40)) & m
+
         for r in range(4):
             left, right = (right ^ mixed(left, 3 - r), left) if back else (right, left ^ mixed(right, r))
-        x[todo] = left << half | right
-        todo = x >= np.uint64(n)
+        x[todo] = left << h | right
+        todo = todo[x[todo] >= n[todo]]
     return x.astype(np.int64)
 
 
-def planned(sources: list[Source], block_words: int, seed: int) -> list[Source]:
-    """With each source's blocks, slots, and what its last slot takes, so that its words meet its target. Only a
+def key_of(seed: int, source, taken):
+    """Of a source's permutation in a pass; of a group's dealing, with taken = PASSES."""
+    return (np.asarray(source, np.uint64) + np.uint64(seed * 1_000_003)) * np.uint64(PASSES + 1) + np.asarray(taken, np.uint64) + np.uint64(1)
+
+
+def plan_of(number: int, size: int, target: float, block_words: int, seed: int) -> tuple[int, int, int]:
+    """A source's blocks, its slots, and the words that its last slot takes, so that its words meet its target. Only a
     source's last block can be short; it counts where the permutation puts it."""
-    for s in sources:
-        goal, s.blocks = round(s.target), -(-s.size // block_words)
-        short = s.blocks * block_words - s.size
-        if not goal:
+    goal, blocks = round(target), -(-size // block_words)
+    short = blocks * block_words - size
+    for taken in range(PASSES if goal else 0):
+        # the pass that meets the goal: its slots before and after the short block
+        rest = goal - taken * size
+        if rest > size:
             continue
-        for taken in range(PASSES):
-            # the pass that meets the goal: its slots before and after the short block
-            rest = goal - taken * s.size
-            if rest > s.size:
-                continue
-            n = -(-rest // block_words)
-            at = int(permuted(np.array([s.blocks - 1]), s.blocks, key_of(seed, s.number, taken), back=True)[0])
-            if n > at:  # the short block is among them
-                n = -(-(rest + short) // block_words)
-            before = n - 1
-            words = before * block_words - (short if before > at else 0)
-            s.slots, s.cut = taken * s.blocks + n, rest - words
-            break
-    return sources
-
-
-def key_of(seed: int, source: int, taken: int) -> int:
-    return (seed * 1_000_003 + source) * PASSES + taken + 1
-
-
-def drawn(sources: list[Source], seed: int, shard_slots: int = SHARD_SLOTS) -> list[tuple[int, int, int, int]]:
-    """(shard, source number, first slot of the source, slots): for each output shard a multinomial draw over the
-    slots that the sources have left, within what is left."""
-    rng = np.random.default_rng(seed)
-    left = np.array([s.slots for s in sources], np.int64)
-    given = np.zeros(len(sources), np.int64)
-    out = []
-    total = int(left.sum())
-    shards = max(1, min(MOST_SHARDS, -(-total // shard_slots)))
-    for k in range(shards):
-        need = total * (k + 1) // shards - total * k // shards
-        take = np.zeros(len(sources), np.int64)
-        while need:
-            rest = left - take
-            draw = np.minimum(rng.multinomial(need, rest / rest.sum()), rest)
-            take += draw
-            need -= int(draw.sum())
-        for i in np.flatnonzero(take).tolist():
-            out.append((k, sources[i].number, int(given[i]), int(take[i])))
-        given += take
-        left -= take
+        n = -(-rest // block_words)
+        at = int(permuted(np.array([blocks - 1]), blocks, key_of(seed, number, taken), back=True)[0])
+        if n > at:  # the short block is among them
+            n = -(-(rest + short) // block_words)
+        before = n - 1
+        return blocks, taken * blocks + n, rest - before * block_words + (short if before > at else 0)
+    return blocks, 0, 0
+
+
+def hypergeometric(rng: np.random.Generator, good: np.ndarray, bad: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """How many of `need` draws without replacement are good, place by place."""
+    low, high = np.maximum(0, need - bad), np.minimum(good, need)
+    out = low.copy()
+    small = (good < EXACT) & (bad < EXACT) & (high > low)
+    if small.any():
+        out[small] = rng.hypergeometric(good[small], bad[small], need[small])
+    large = ~small & (high > low)
+    if large.any():
+        g, b, k = (v[large].astype(np.float64) for v in (good, bad, need))
+        share = g / (g + b)
+        spread = np.sqrt(np.maximum(0.0, k * share * (1 - share) * (g + b - k) / np.maximum(1.0, g + b - 1)))
+        out[large] = np.clip(np.rint(k * share + spread * rng.standard_normal(len(k))).astype(np.int64), low[large], high[large])
     return out
 
 
+def part_of(counts: np.ndarray, need: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of `need` slots, drawn from all, are of each group: halves of the groups first, then quarters, and so on."""
+    levels = [np.pad(counts, (0, (1 << (len(counts) - 1).bit_length()) - len(counts)))]
+    while len(levels[-1]) > 1:
+        levels.append(levels[-1][0::2] + levels[-1][1::2])
+    take = np.array([need], np.int64)
+    for sums in levels[-2::-1]:
+        left = hypergeometric(rng, sums[0::2], sums[1::2], take)
+        take = np.stack([left, take - left], axis=1).ravel()
+    return take[: len(counts)]
+
+
+def drawn(slots: np.ndarray, first: int, end: int, seed: int, shard_slots: int = SHARD_SLOTS):
+    """(shard, counts, before) of the shards first..end - 1: slots of each group in the shard, and in those before it.
+    slots: all slots of each group."""
+    total = int(slots.sum())
+
+    def halves(low: int, high: int, counts: np.ndarray, before: np.ndarray):
+        if high <= first or low >= end:
+            return
+        if high - low == 1:
+            yield low, counts, before
+            return
+        middle = low + (1 << ((high - low - 1).bit_length() - 1))
+        left = part_of(counts, min(total, middle * shard_slots) - low * shard_slots, np.random.default_rng([seed, low, high]))
+        yield from halves(low, middle, left, before)
+        yield from halves(middle, high, counts - left, before + left)
+
+    yield from halves(0, -(-total // shard_slots), slots, np.zeros_like(slots))
+
+
+def numbered(sources: DataFrame) -> tuple[DataFrame, int, int]:
+    """sources (skey, size, ...) with number: their place in the order of skey, from 0; how many they are, and the sum of
+    their sizes. By ranges: the driver gets a count and a sum of each."""
+    ranged = sources.repartitionByRange("skey").sortWithinPartitions("skey").withColumn("at", F.monotonically_increasing_id())
+    ranged = written(ranged, "ranged")
+    own = F.shiftright("at", 33)
+    counts = sorted(ranged.groupBy(own.alias("range")).agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect())
+    before = np.cumsum([0, *(r["n"] for r in counts)]).tolist()
+    table = sources.sparkSession.createDataFrame([(r["range"], b) for r, b in zip(counts, before, strict=False)], "range long, before long")
+    rows = ranged.withColumn("range", own).join(F.broadcast(table), "range")  # a row per partition
+    return rows.withColumn("number", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at", "range", "before"), before[-1], sum(r["size"] for r in counts)
+
+
+def with_targets(sources: DataFrame, words: int, share: float, weights) -> DataFrame:
+    """sources (number, size, ...; words in all) with target. The share of all sizes goes to the sources by weight; a target stops at
+    PASSES times its size, and the excess is shared again by weight among the others until none is above. A source is
+    above if the share of a unit of weight is more than its size allows, and that share only grows, so that a round is an
+    aggregate."""
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("number") % len(weights) + 1).cast("int"))
+    rows = sources.withColumn("weight", weight).withColumn("most", F.col("size") * PASSES)
+    left, unit = min(share * words, float(PASSES * words)), 0.0
+    while True:
+        over = F.col("most") <= 0 if not unit else (F.col("weight") * unit > F.col("most"))
+        stopped, free = rows.agg(F.sum(F.when(over, F.col("most"))), F.sum(F.when(~over, F.col("weight")))).first()
+        new = (left - (stopped or 0)) / free if free else unit
+        if new <= unit:
+            break
+        unit = new
+    return rows.withColumn("target", F.least(F.col("weight") * unit, F.col("most").cast("double"))).drop("weight", "most")
+
+
 @dataclass
 class Mix:
-    """docs: the given rows with number (of the source), source_size, target, start (words of its source before it) and
-    size; slots: (shard, number, slot, pass, block, words): what each slot of the output takes."""
+    """docs: one row for all rows alike in id, text and source, with n (of them), skey and number (of the source),
+    source_size, target, size (words of one) and start (words of its source before it); slots: (shard, number, slot,
+    pass, block, words): what each slot of the output takes."""
 
     docs: DataFrame
     slots: DataFrame
-    sources: list[Source]
     block_words: int
 
-    def taken(self) -> DataFrame:
-        """(number, block, pass, words): words taken from the front of the block."""
-        return self.slots.select("number", "block", "pass", "words")
-
     def pieces(self) -> DataFrame:
-        """(number, start, size, pass, first, words): word ranges of documents that the mix takes, numbered within the
-        document. Joined by block index."""
+        """(number, start, size, copy, pass, first, words): word ranges of documents that the mix takes, numbered within
+        the document; copy tells rows that are alike. Joined by block index."""
         b = self.block_words
-        touched = self.docs.where("size > 0").select("number", "start", "size", F.explode(F.sequence(F.expr(f"start div {b}"), F.expr(f"(start + size - 1) div {b}"))).alias("block"))
-        joined = touched.join(self.taken(), ["number", "block"])
-        low = F.greatest(F.col("start"), F.col("block") * b)
-        high = F.least(F.col("start") + F.col("size"), F.col("block") * b + F.col("words"))
-        return joined.select("number", "start", "size", "pass", (low - F.col("start")).alias("first"), (high - low).alias("words")).where("words > 0")
-
-
-def mix_sources(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", share: float = SHARE, weights=WEIGHTS, block_words: int = BLOCK_WORDS, seed: int = 17, keep: list[str] | None = None) -> Mix:
+        whole = F.col("size") * F.col("n")
+        blocks = F.sequence(F.expr(f"start div {b}"), F.expr(f"(start + size * n - 1) div {b}"))
+        touched = self.docs.where("size > 0").select("number", "start", "size", whole.alias("whole"), F.explode(blocks).alias("block"))
+        joined = touched.join(self.slots.select("number", "block", "pass", "words"), ["number", "block"])
+        low = F.greatest(F.col("start"), F.col("block") * b) - F.col("start")
+        high = F.least(F.col("start") + F.col("whole"), F.col("block") * b + F.col("words")) - F.col("start")
+        ranges = joined.select("number", "start", "size", "pass", low.alias("low"), high.alias("high")).where("high > low")
+        ranges = ranges.withColumn("copy", F.explode(F.sequence(F.expr("low div size"), F.expr("(high - 1) div size"))))
+        first = F.greatest(F.col("low") - F.col("copy") * F.col("size"), F.lit(0))
+        end = F.least(F.col("high") - F.col("copy") * F.col("size"), F.col("size"))
+        return ranges.select("number", "start", "size", "copy", "pass", first.alias("first"), (end - first).alias("words"))
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, weights=WEIGHTS, block_words: int = BLOCK_WORDS, seed: int = 17) -> Mix:
     """Plan and draw the mix. Sources are ordered by code point, null last, and take the weights in turn.
 
     A null text has no words. Rows with the same doc_id, or null, are documents of their own. An empty table, or one
-    without words, gives a mix without slots. keep: columns of docs to carry along (the id alone by default).
+    without words, gives a mix without slots. Columns of docs may have any names.
     """
     spark = docs.sparkSession
-    keep = keep or [id_col]
-    sized = written(docs.select(*keep, F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(id_col, text_col).alias("_order")), "sizes")
-    found = sized.groupBy("_source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(SOURCES + 1).collect()
-    if len(found) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
-    found.sort(key=lambda r: (r["_source"] is None, r["_source"] or ""))  # code points, as Python orders strings
-    size = [r["size"] for r in found]
-    goal = targets(size, [weights[i % len(weights)] for i in range(len(found))], share * sum(size))
-    sources = planned([Source(i, r["_source"], r["size"], t) for i, (r, t) in enumerate(zip(found, goal, strict=True))], block_words, seed)
-
-    # start of each document within its source: buckets of bounded size, then sums over buckets
-    rows = [(s.number, s.name, s.size, s.target, max(1, -(-r["n"] // BUCKET_ROWS)), s.blocks, s.slots, s.cut) for s, r in zip(sources, found, strict=True)]
-    table = spark.createDataFrame(rows, "number int, _name string, source_size long, target double, buckets long, blocks long, slots long, cut long")
-    one = sized.join(table.select("number", "_name", "source_size", "target", "buckets"), F.col("_source").eqNullSafe(F.col("_name")))
-    one = one.withColumn("bucket", F.pmod("_order", "buckets")).drop("_name", "buckets")
-    per_bucket = one.groupBy("number", "bucket").agg(F.sum("size").alias("words"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per_bucket = per_bucket.select(F.col("number").alias("_n"), F.col("bucket").alias("_b"), before.alias("before"))
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("number", "bucket").orderBy(id_col, "_order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = one.withColumn("inside", inside).join(per_bucket, (F.col("number") == F.col("_n")) & (F.col("bucket") == F.col("_b")))
-    placed = placed.withColumn("start", F.col("before") + F.col("inside")).select(*keep, F.col("_source").alias("source"), "number", "size", "source_size", "target", "start")
-
-    runs = [(k, i, a + x, min(65_536, n - x)) for k, i, a, n in drawn(sources, seed) for x in range(0, n, 65_536)]
-    runs = spark.createDataFrame(spark.sparkContext.parallelize(runs, max(1, min(64, len(runs) // 64))), "shard int, number int, first long, n long")
-    slots = runs.join(table.select("number", "blocks", "slots", "cut", "source_size"), "number")
-
-    def fill(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                slot = np.arange(r.first, r.first + r.n)
-                taken = slot // r.blocks
-                block = np.empty(r.n, np.int64)
-                for t in np.unique(taken).tolist():
-                    mine = taken == t
-                    block[mine] = permuted(slot[mine] % r.blocks, r.blocks, key_of(seed, r.number, t))
-                words = np.minimum(block_words, r.source_size - block * block_words)
-                words[slot == r.slots - 1] = r.cut
-                yield pd.DataFrame({"shard": r.shard, "number": r.number, "slot": slot, "pass": taken.astype(np.int32), "block": block, "words": words})
-
-    slots = slots.mapInPandas(fill, "shard int, number int, slot long, pass int, block long, words long")
-    return Mix(written(placed, "documents"), slots, sources, block_words)
+    sized = docs.select(F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("skey"), F.xxhash64(id_col, text_col).alias("hash"), word_count(F.col(text_col)).alias("size"))
+    sized = written(sized.groupBy("id", "skey", "hash", "size").agg(F.count("*").alias("n")), "sizes")
+
+    found = sized.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.count("*").alias("rows"))
+    sources, n_sources, words = numbered(found)
+    sources = with_targets(sources, words, share, weights)
+
+    def plan(frames):
+        for pdf in frames:
+            made = [plan_of(r.number, r.size, r.target, block_words, seed) for r in pdf.itertuples()]
+            yield pdf.assign(**{name: np.array([m[k] for m in made], np.int64) for k, name in enumerate(("blocks", "slots", "cut"))})
+
+    planned = sources.mapInPandas(plan, "skey string, size long, rows long, number long, target double, blocks long, slots long, cut long")
+    planned = planned.withColumn("grp", F.expr(f"number div {max(1, -(-n_sources // GROUPS))}"))
+    before = F.sum("slots").over(Window.partitionBy("grp").orderBy("number")) - F.col("slots")
+    sources = written(planned.withColumn("first", before), "sources")
+
+    # start of each document within its source: buckets of bounded size, and sums over buckets
+    facts = sources.select("skey", "number", F.col("size").alias("source_size"), "target", F.expr(f"greatest(1, (rows + {BUCKET_ROWS - 1}) div {BUCKET_ROWS})").alias("buckets"))
+    one = dealt_join(sized, facts, "skey", F.col("hash")).withColumn("bucket", F.pmod("hash", "buckets")).drop("buckets")
+    whole, until = F.col("size") * F.col("n"), lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = one.groupBy("number", "bucket").agg(F.sum(whole).alias("words")).withColumn("span", F.expr(f"bucket div {SPAN}"))
+    per_span = per_bucket.groupBy("number", "span").agg(F.sum("words").alias("words"))
+    per_span = per_span.select("number", "span", F.coalesce(F.sum("words").over(until(Window.partitionBy("number").orderBy("span"))), F.lit(0)).alias("before_span"))
+    in_span = F.coalesce(F.sum("words").over(until(Window.partitionBy("number", "span").orderBy("bucket"))), F.lit(0))
+    per_bucket = per_bucket.withColumn("in_span", in_span).join(per_span, ["number", "span"]).select("number", "bucket", (F.col("before_span") + F.col("in_span")).alias("before"))
+    inside = F.coalesce(F.sum(whole).over(until(Window.partitionBy("number", "bucket").orderBy("id", "hash", "size"))), F.lit(0))
+    placed = one.withColumn("inside", inside).join(per_bucket, ["number", "bucket"])
+    placed = placed.select("id", "skey", "hash", "number", "size", "n", "source_size", "target", (F.col("before") + F.col("inside")).alias("start"))
+
+    groups = sources.groupBy("grp").agg(F.sum("slots").alias("slots")).collect()  # GROUPS at most
+    slots_of = np.zeros(len(groups), np.int64)
+    for r in groups:
+        slots_of[r["grp"]] = r["slots"]
+    shards = -(-int(slots_of.sum()) // SHARD_SLOTS)
+
+    def deal(batches):
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            for a in range(0, len(ids), SHARDS_AT_ONCE):
+                shard, grp, at = [], [], []
+                for k, counts, given in drawn(slots_of, int(ids[a]), int(ids[min(a + SHARDS_AT_ONCE, len(ids)) - 1]) + 1, seed):
+                    some = np.flatnonzero(counts)
+                    n = counts[some]
+                    ends = np.cumsum(n)
+                    at.append(np.arange(ends[-1]) + np.repeat(given[some] - ends + n, n))
+                    grp.append(np.repeat(some, n))
+                    shard.append(np.full(ends[-1], k))
+                grp, at = np.concatenate(grp), np.concatenate(at)
+                at = permuted(at, slots_of[grp], key_of(seed, grp, PASSES))
+                yield pa.RecordBatch.from_pydict({"shard": np.concatenate(shard), "grp": grp, "at": at, "part": at // PART})
+
+    dealt = spark.range(0, shards, 1, max(1, min(10_000, -(-shards // SHARDS_AT_ONCE)))).mapInArrow(deal, "shard long, grp long, at long, part long")
+    parts = sources.where("slots > 0").select("grp", "number", "first", "blocks", "slots", "cut", F.col("size").alias("source_size"), F.explode(F.expr(f"sequence(first div {PART}, (first + slots - 1) div {PART})")).alias("part"))
+    slots = dealt.join(parts, ["grp", "part"]).where("at >= first AND at < first + slots").select("shard", "number", (F.col("at") - F.col("first")).alias("slot"), "blocks", "slots", "cut", "source_size")
+
+    def fill(frames):
+        for pdf in frames:
+            slot, blocks = pdf["slot"].to_numpy(), pdf["blocks"].to_numpy()
+            taken = slot // np.maximum(blocks, 1)
+            block = permuted(slot - taken * blocks, blocks, key_of(seed, pdf["number"].to_numpy(), taken))
+            words = np.minimum(block_words, pdf["source_size"].to_numpy() - block * block_words)
+            words = np.where(slot == pdf["slots"].to_numpy() - 1, pdf["cut"].to_numpy(), words)
+            yield pd.DataFrame({"shard": pdf["shard"], "number": pdf["number"], "slot": slot, "pass": taken, "block": block, "words": words})
+
+    slots = slots.mapInPandas(fill, "shard long, number long, slot long, pass long, block long, words long")
+    return Mix(written(placed, "documents"), slots, block_words)
 
 
 def mix_figures(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target and taken (words of it in the mix, repeats counted)."""
     mix = mix_sources(docs, id_col=id_col, **options)
-    taken = mix.pieces().groupBy("number", "start", "size").agg(F.sum("words").alias("taken"))
-    rows = mix.docs.join(taken, ["number", "start", "size"], "left")
-    return rows.select(F.col(id_col).alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = mix.pieces().groupBy("number", "start", "size", "copy").agg(F.sum("words").alias("taken"))
+    rows = mix.docs.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).join(taken, ["number", "start", "size", "copy"], "left")
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -234,44 +295,39 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     with the blanks between neighbours as they were; ranges of one document that do not meet are joined by a newline.
     A document that is taken twice whole gives two equal rows; one that is not taken gives none. Rows of docs that are
     alike in id, source and text count as often as they occur; what they give has the other columns of one of them."""
-    key = [id_col, "_h"]
-    keyed = docs.withColumn("_h", F.xxhash64(id_col, text_col, source_col))
-    mix = mix_sources(keyed, id_col=id_col, text_col=text_col, source_col=source_col, keep=key, **options)
-    ranges = mix.pieces().groupBy("number", "start", "size", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("ranges"))
-    ranges = ranges.join(mix.docs.select(*key, "number", "start", "size"), ["number", "start", "size"])
-    ranges = ranges.select(F.col(id_col).alias("_id"), F.col("_h").alias("_k"), "size", "ranges").groupBy("_id", "_k").agg(F.collect_list("ranges").alias("_passes"))
-    if not mix.docs.groupBy(*key).count().where("count > 1").isEmpty():
-        keyed = keyed.dropDuplicates(key)  # of alike rows, one carries what all of them give
-    alone = keyed.join(ranges, keyed[id_col].eqNullSafe(ranges["_id"]) & (keyed["_h"] == ranges["_k"]))
-
-    names = docs.columns
+    mix = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    place = ["number", "start", "size"]
+    ranges = mix.pieces().groupBy(*place, "copy", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("ranges"))
+    ranges = ranges.join(mix.docs.select(*place, F.col("id").alias("r_id"), F.col("skey").alias("r_skey"), F.col("hash").alias("r_hash")), place)
+    ranges = ranges.select("r_id", "r_skey", "r_hash", "ranges")
+    rows = packed(docs, id=F.col(id_col), skey=source_key(F.col(source_col)), hash=F.xxhash64(id_col, text_col))
+    if not mix.docs.where("n > 1").isEmpty():
+        rows = rows.groupBy("id", "skey", "hash").agg(F.first("row").alias("row"))  # of alike rows, one carries what all of them give
+    joined = rows.join(ranges, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("skey") == F.col("r_skey")) & (F.col("hash") == F.col("r_hash")))
+    fields = docs.columns
 
     def cut(batches):
         for batch in batches:
-            rows, made = [], []
-            for i, (text, passes) in enumerate(zip(batch.column(text_col).to_pylist(), batch.column("_passes").to_pylist(), strict=True)):
-                new = list(taken_texts(text, passes))
-                made += new
-                rows += [i] * len(new)
-            own = batch.select(names).take(pa.array(rows, pa.int64()))
-            at = names.index(text_col)
-            yield own.set_column(at, own.schema.field(at), pa.array(made, own.schema.field(at).type))
+            row = batch.column("row")
+            values = dict(zip(fields, row.flatten(), strict=True))
+            text = values[text_col]
+            values[text_col] = pa.array([taken_text(t, r) for t, r in zip(text.to_pylist(), batch.column("ranges").to_pylist(), strict=True)], text.type)
+            yield pa.RecordBatch.from_arrays([values[c] for c in fields], names=fields)
 
-    return alone.mapInArrow(cut, docs.schema)
+    return joined.select("row", "ranges").mapInArrow(cut, docs.schema)
 
 
-def taken_texts(text: str, passes: list[list[dict]]):
-    """For each pass, the words of the text in its ranges (first, words); ranges in order, those that meet as one."""
+def taken_text(text: str, ranges: list[dict]) -> str:
+    """The words of the text in the ranges (first, words), in order; those that meet are one."""
     raw = text.encode()
     at = [m.span() for m in WORD.finditer(raw)]
-    for ranges in passes:
-        parts: list[tuple[int, int]] = []
-        last = -1
-        for r in sorted(ranges, key=lambda r: r["first"]):
-            a, b = at[r["first"]][0], at[r["first"] + r["words"] - 1][1]
-            if last == r["first"]:
-                parts[-1] = (parts[-1][0], b)
-            else:
-                parts.append((a, b))
-            last = r["first"] + r["words"]
-        yield text if parts == [(at[0][0], at[-1][1])] else b"\n".join(raw[a:b] for a, b in parts).decode()
+    parts: list[tuple[int, int]] = []
+    last = -1
+    for r in sorted(ranges, key=lambda r: r["first"]):
+        a, b = at[r["first"]][0], at[r["first"] + r["words"] - 1][1]
+        if last == r["first"]:
+            parts[-1] = (parts[-1][0], b)
+        else:
+            parts.append((a, b))
+        last = r["first"] + r["words"]
+    return text if parts == [(at[0][0], at[-1][1])] else b"\n".join(raw[a:b] for a, b in parts).decode()

@@ -20,11 +20,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
-from quarry.llm.shared import small_batches, written
+from quarry.llm.shared import HOT, dealt_join, hot_join, marked, packed, small_batches, written
 
 #: Words of a shingle; threshold as a fraction; minhash tokens of a signature; bytes kept of each.
 WORDS, NUM, DEN, T = 5, 4, 5, 128
@@ -32,9 +32,7 @@ WORDS, NUM, DEN, T = 5, 4, 5, 128
 #: sets of a tile.
 SMALL, LEVELS, TILE = 256, 3, 512
 RECALL = 0.9999
-#: Bits of the bitmap that filters documents before their texts are shuffled (2 MB).
-BITMAP = 1 << 24
-#: Equal bytes of two signatures that make a candidate: over six standard deviations below the threshold.
+#: Equal bytes of two signatures that make a candidate: 5.8 standard deviations below what the threshold gives.
 LEAST_EQUAL = 76
 
 
@@ -197,25 +195,26 @@ def candidates(buckets: DataFrame) -> DataFrame:
     return rows.select(*keys, "cls", "sig").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b): the least node of its connected component. Each round joins a
-    node's neighbours to the least of them, larger ones first and then smaller ones, until nothing changes."""
+    node's neighbours to the least of them, larger ones first and then smaller ones, until nothing changes, which takes
+    rounds in the order of the logarithm of the longest path. A node of many edges is dealt to parts."""
+    facts = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(most):
+    before = facts(edges)
+    while True:
         # large star: each node's larger neighbours to the least of its neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        around = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = dealt_join(both.where("b > a"), around, "a", F.col("b")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: each node and its smaller neighbours to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.withColumnRenamed("m", "b"))
-        new = written(small.distinct(), "edges")
-        before, after = (e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for e in (edges, new))
-        edges = new
+        small = dealt_join(large, low, "a", F.col("b")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.withColumnRenamed("m", "b"))
+        edges = written(small.distinct(), "edges")
+        after = facts(edges)
         if before == after:
             break
-    else:
-        raise RuntimeError("components did not settle")
+        before = after
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -239,19 +238,6 @@ def linked(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return (NUM + DEN) * inter >= NUM * (sizes_a[:, None] + sizes_b[None, :])
 
 
-def marked(docs: DataFrame, key: str, members: DataFrame, member: str) -> DataFrame:
-    """docs with _maybe: whether the key may be among the members: by a bitmap of hashed keys, which has BITMAP bits
-    however many members there are. It keeps the texts of the others out of the shuffle that a join needs; what it lets
-    through by chance, the join tells apart."""
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP)) + 1
-    own = members.select(spot(member).alias("_h"))
-    bits = own.groupBy(F.bitmap_bucket_number("_h").alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
-    rows = docs.withColumn("_h", spot(key)).join(F.broadcast(bits), F.bitmap_bucket_number("_h") == F.col("_b"), "left")
-    at = F.bitmap_bit_position("_h")
-    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return rows.select(*docs.columns, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias("_maybe"))
-
-
 def exact_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Of members (cls, copies, doc_id, root, n: sets in the component): edges (a, b) that join similar sets, and per
     cls links: the documents of other sets that are similar, links_sets: those sets."""
@@ -265,7 +251,7 @@ def exact_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str)
             yield pa.RecordBatch.from_pydict({"cls": pa.array([rows[i]["cls"] for i in keep], pa.int64()), "copies": pa.array([rows[i]["copies"] for i in keep], pa.int64()), "root": pa.array([rows[i]["root"] for i in keep], pa.int64()), "n": pa.array([rows[i]["n"] for i in keep], pa.int64()), "set": pa.array([sets[i].tobytes() for i in keep], pa.binary())})
 
     texts = docs.selectExpr(f"`{id_col}` AS _id", f"CAST(`{text_col}` AS BINARY) AS text")
-    own = marked(texts, "_id", members, "doc_id").where("_maybe").join(members, F.col("_id").eqNullSafe(F.col("doc_id"))).select("cls", "copies", "root", "n", "text")
+    own = marked(texts, F.col("_id"), members, F.col("doc_id")).where("maybe").join(members, F.col("_id").eqNullSafe(F.col("doc_id"))).select("cls", "copies", "root", "n", "text")
     sets = tiled(own.mapInArrow(shingled, "cls long, copies long, root long, n long, set binary"), "root", "cls", "n", TILE)
 
     def verify(table):
@@ -308,6 +294,11 @@ def exact_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str)
     return found.select("a", "b"), found.groupBy("a").agg(F.sum("links").alias("links"), F.sum("links_sets").alias("links_sets")).withColumnRenamed("a", "cls")
 
 
+def least_id() -> Column:
+    """Of a group's rows: the least doc_id, null first."""
+    return F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id"))["doc_id"]
+
+
 def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, class_id, n_links, n_set_links, cls (hash of its shingle set) and root (of its
     class).
@@ -319,20 +310,23 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     doc_id are documents of their own. An empty table gives an empty result; other columns are ignored.
     """
     seen = written(signatures(docs, id_col, text_col), "signatures")
-    per_set = seen.where("cls IS NOT NULL").groupBy("cls").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNotNull().alias("_"), "doc_id"))["doc_id"].alias("doc_id"))
+    per_set = seen.where("cls IS NOT NULL").groupBy("cls").agg(F.count("*").alias("copies"), least_id().alias("doc_id"))
     # one signature per set: any of the rows that carry it, as they are alike
     sets = written(seen.where("sig IS NOT NULL").groupBy("cls").agg(F.first("roots").alias("roots"), F.first("sig").alias("sig")), "sets")
     near = components(candidates(bucketed(sets)))
     size = near.groupBy("root").agg(F.count("*").alias("n"))
-    members = written(near.join(size, "root").join(per_set, near["node"] == per_set["cls"]).select("cls", "copies", "doc_id", "root", "n"), "members")
+    sized = dealt_join(near, size, "root", F.col("node"))
+    members = written(sized.join(per_set, sized["node"] == per_set["cls"]).select("cls", "copies", "doc_id", "root", "n"), "members")
     edges, links = exact_links(docs, members, id_col, text_col)
-    joined = components(edges).select(F.col("node").alias("cls"), "root")
-    labels = per_set.join(joined, "cls", "left").join(links, "cls", "left").select("cls", "copies", "doc_id", F.coalesce("root", "cls").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("links_sets", F.lit(0)).alias("links_sets"))
-    labels = written(labels, "labels")
-    ids = labels.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("_"), "doc_id"))["doc_id"].alias("class_id"))
-    facts = labels.join(ids, "root").select("cls", "root", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("links_sets").alias("n_set_links"))
-    rows = seen.where("cls IS NOT NULL").select("doc_id", "cls").join(facts, "cls").select("doc_id", "class_id", "n_links", "n_set_links", "cls", "root")
+    # sets that links connect, each with its component's least doc_id; the others are alone
+    joined = components(edges).select(F.col("node").alias("cls"), "root").join(members.select("cls", "doc_id"), "cls")
+    joined = dealt_join(joined, joined.groupBy("root").agg(least_id().alias("class_id")), "root", F.col("cls")).select("cls", "root", "class_id", F.lit(True).alias("met"))
+    labels = per_set.join(joined, "cls", "left").join(links, "cls", "left")
     zero = F.lit(0).cast("long")
+    facts = labels.select("cls", "copies", F.coalesce("root", "cls").alias("root"), F.when(F.col("met"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), (F.coalesce("links", zero) + F.col("copies") - 1).alias("n_links"), F.coalesce("links_sets", zero).alias("n_set_links"))
+    facts = written(facts, "facts")
+    hot = facts.where(F.col("copies") > HOT).select(F.col("cls").alias("hot_"))
+    rows = hot_join(seen.where("cls IS NOT NULL").select("doc_id", "cls", F.monotonically_increasing_id().alias("at")), facts, "cls", hot, F.col("at")).select("doc_id", "class_id", "n_links", "n_set_links", "cls", "root")
     return rows.unionByName(seen.where("cls IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_set_links"), "cls", F.col("cls").alias("root")))
 
 
@@ -340,22 +334,25 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of docs of which one stays for each class: the least doc_id (null first); of rows with the same id, that
     of the least hash of shingles, and of rows alike in both any. Texts without words all stay."""
     classes = written(ngram_classes(docs, id_col, text_col), "classes")
-    if docs.groupBy(id_col).count().where("count > 1").isEmpty():
-        goes = written(classes.where("cls IS NOT NULL AND NOT (doc_id <=> class_id)").select(F.col("doc_id").alias("_id")), "goes")
-        rows = marked(docs, id_col, goes, "_id")
-        rest = rows.where("_maybe").join(goes, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
-        return rows.where("NOT _maybe").unionByName(rest).select(*docs.columns)
+    rows = packed(docs, id=F.col(id_col))
+    if rows.groupBy("id").count().where("count > 1").isEmpty():
+        goes = written(classes.where("cls IS NOT NULL AND NOT (doc_id <=> class_id)").select("doc_id"), "goes")
+        rows = marked(rows, F.col("id"), goes, F.col("doc_id"))
+        rest = rows.where("maybe").join(goes, F.col("id").eqNullSafe(F.col("doc_id")), "left_anti")
+        return rows.where("NOT maybe").unionByName(rest).select("row.*")
     # ids that repeat: a row is told by its id and its shingle set
-    least = classes.where("cls IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("_"), "doc_id", "cls")).alias("x"))
-    stays = written(least.select(F.col("x.doc_id").alias("_id"), F.col("x.cls").alias("_own")), "stays")
+    least = classes.where("cls IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "cls")).alias("x"))
+    stays = written(least.select("x.doc_id", "x.cls"), "stays")
+    kind = docs.schema[id_col].dataType
 
     def classed(batches):
         shingler = Shingler()
         for batch in batches:
-            sets = [shingler.set_of(t or b"") for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
+            sets = [shingler.set_of(t or b"") for t in batch.column("text").to_pylist()]
             own = pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63 if len(x) else None for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, "_cls"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), own], names=["row", "id", "own"])
 
-    rows = docs.mapInArrow(classed, T_.StructType([*docs.schema.fields, T_.StructField("_cls", T_.LongType())]))
-    full = rows.join(stays, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_cls") == F.col("_own")), "left_semi")
-    return full.dropDuplicates([id_col, "_cls"]).unionByName(rows.where("_cls IS NULL")).drop("_cls")
+    row = T_.StructType(docs.schema.fields)
+    rows = packed(docs, id=F.col(id_col), text=F.col(text_col).cast("binary")).mapInArrow(classed, T_.StructType([T_.StructField("row", row), T_.StructField("id", kind), T_.StructField("own", T_.LongType())]))
+    full = rows.join(stays, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("cls")), "left_semi")
+    return full.groupBy("id", "own").agg(F.first("row").alias("row")).select("row.*").unionByName(rows.where("own IS NULL").select("row.*"))

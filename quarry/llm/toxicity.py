@@ -3,14 +3,19 @@ r"""Toxic passages as maximal-scoring segments of token log-odds, calibrated as
 A token is read as up to three units: the word, its first six and its first four characters, so that inflected and
 unseen forms of a stem count. A unit's log-odds between toxic and clean training documents are shrunk by a Dirichlet
 prior in proportion to its share of all training documents, and divided by their deviation to tell whether they mean
-anything. A token's score is its strongest significant unit's log-odds, and a fixed loss if it has none. All maximal
-segments of a text are found in linear time (Ruzzo and Tompa). With lambda and K of the score distribution in clean
-text (Karlin and Altschul), a segment's bits over what chance gives in a text of that length are comparable between
-texts; a text's score is a logistic function of its best segment's excess, fitted on training documents.
-
-Document counts cover all units of all training documents, in one aggregation, and significance is tested there: the
-driver gets all significant units that UNIT_DOCS toxic documents have, and no others. Calibration uses a share of the
-labelled documents, chosen by hash, that is expected to hold FIT_DOCS at most.
+anything. A token's score is its strongest significant unit's log-odds, and a fixed loss if it has none or follows
+itself, as a word that is repeated says nothing new. All maximal
+segments of a text are found in linear time (Ruzzo and Tompa). The best segment of n tokens of clean text follows an
+extreme-value law, P(score < x) = exp(-K n exp(-lambda x)) (Karlin and Altschul): lambda comes from the scores of clean
+tokens, K is the law's maximum-likelihood fit to the best segments of clean documents. A segment's nats over what chance
+gives in a text of that length are comparable between texts; a text's score is a logistic function of its best segment's
+excess (its asinh, so that a few long passages do not bend the fit), fitted on training documents.
+
+Labels meet documents by id alone; of equal texts one is chosen before any text moves, and a bitmap keeps the texts of
+others where they are. The plan is the same however many labels there are. Document counts cover all units of all
+training documents, in one aggregation, and significance is tested there: the driver gets all significant units that
+UNIT_DOCS toxic documents have, and no others. Calibration uses a share of the labelled documents, chosen by hash, that
+is expected to hold FIT_DOCS at most.
 """
 
 from __future__ import annotations
@@ -24,16 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import small_batches, written
+from quarry.llm.shared import marked, small_batches, written
 
 UNIT_DOCS, FIT_DOCS = 4, 20_000
-#: So many labels go to every executor; more of them meet their documents in a shuffled join.
-BROADCAST_LABELS = 2_000_000
-#: Strength of the Dirichlet prior in documents; deviations that make a unit significant; loss of other tokens; most
-#: that one token can give.
-PRIOR, SIGNIFICANT, LOSS, MOST = 50.0, 4.0, 0.4, 4.0
-#: Excess over chance (in nats) from which a segment is reported.
-PASSAGE = 3.0
+#: Strength of the Dirichlet prior in documents; documents that a class's variance rests on at least; deviations that make
+#: a unit significant; loss of other tokens; most that one token can give.
+PRIOR, FLOOR, SIGNIFICANT, LOSS, MOST = 50.0, 0.5, 4.0, 0.4, 4.0
+#: Excess over chance (in nats) from which a segment is reported: chance gives one to a clean text in 400.
+PASSAGE = 6.0
 WORD = re.compile(r"\w+")
 
 
@@ -70,7 +73,14 @@ class Scorer:
         for w in {w for w in words if w not in known}:
             own = [weights[u] for u in units(w) if u in weights]
             known[w] = max(own, key=abs) if own else -LOSS
-        return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+        out = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+        out[[i for i in range(1, len(words)) if words[i] == words[i - 1]]] = -LOSS
+        return out
+
+    def score(self, best: float, n: int) -> float:
+        """Of a text of n tokens whose best segment has this score: 0 to 1."""
+        x = self.model.slope * math.asinh(self.excess(best, max(1, n))) + self.model.offset
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
     def excess(self, score: float, n: int) -> float:
         """Nats by which a segment's score exceeds what chance gives in n tokens."""
@@ -120,11 +130,15 @@ def _counts(docs: DataFrame) -> DataFrame:
 
 
 def weight(y1: int, y0: int, n1: int, n0: int) -> float | None:
-    """Log-odds of a unit that y1 of n1 toxic and y0 of n0 clean documents have; none if it is not significant."""
+    """Log-odds of a unit that y1 of n1 toxic and y0 of n0 clean documents have; none if it is not significant. The prior
+    of a rare unit is a small part of a document; its variance is that of FLOOR documents, and does not grow beyond. A unit
+    of all documents says nothing."""
+    if y1 + y0 == n1 + n0:
+        return None
     prior = PRIOR * (y1 + y0) / (n1 + n0)
     a, b = y1 + prior, y0 + prior
-    odds = math.log(a / (n1 + PRIOR - a)) - math.log(b / (n0 + PRIOR - b)) if n1 + PRIOR > a else MOST
-    return max(-MOST, min(MOST, odds)) if abs(odds) / math.sqrt(1 / a + 1 / b) >= SIGNIFICANT else None
+    odds = math.log(a / (n1 + PRIOR - a)) - math.log(b / (n0 + PRIOR - b))
+    return max(-MOST, min(MOST, odds)) if abs(odds) / math.sqrt(1 / max(a, FLOOR) + 1 / max(b, FLOOR)) >= SIGNIFICANT else None
 
 
 def _significant(counts: DataFrame, n1: int, n0: int) -> DataFrame:
@@ -138,18 +152,21 @@ def _significant(counts: DataFrame, n1: int, n0: int) -> DataFrame:
     return counts.where(F.col("toxic") >= UNIT_DOCS).mapInArrow(run, "unit string, weight double")
 
 
+def _labelled(own: DataFrame, labels: DataFrame) -> DataFrame:
+    """(hash, toxic, text): the labelled texts of own (doc_id, hash, text), each once, with its least doc_id's label."""
+    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = own.select("doc_id", "hash").hint("merge").join(marks.hint("merge"), "doc_id").groupBy("hash").agg(F.min(F.struct("doc_id", "toxic")).alias("first"))
+    chosen = written(chosen.select("hash", "first.doc_id", "first.toxic"), "chosen")
+    rows = marked(own, F.struct("hash", "doc_id"), chosen, F.struct("hash", "doc_id")).where("maybe").drop("maybe")
+    return rows.hint("merge").join(chosen.hint("merge"), ["hash", "doc_id"]).groupBy("hash", "doc_id").agg(F.first("toxic").alias("toxic"), F.first("text").alias("text")).drop("doc_id")
+
+
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from the labelled documents that are not held out. Of documents with the same text the least doc_id
     counts. Null labels and texts are left out; documents with contradicting labels count as toxic. Without documents
     of both classes, the model scores every text alike."""
-    spark = documents.sparkSession
-    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumnRenamed("doc_id", "_id")
-    if labels.count() <= BROADCAST_LABELS:
-        marked = F.broadcast(marked)
-    own = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    found = own.join(marked, F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", F.xxhash64("text").alias("hash"), "text")
-    found = found.groupBy("hash").agg(F.min(F.struct("doc_id", "toxic", "text")).alias("first")).select("hash", "first.toxic", "first.text")
-    found = written(found, "labelled")
+    own = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("hash", F.xxhash64("text"))
+    found = written(_labelled(own, labels), "labelled")
     n1, n0 = found.agg(F.expr("count_if(toxic = 1)"), F.expr("count_if(toxic = 0)")).first()
     if not n1 or not n0:
         return Model({}, slope=0.0)
@@ -170,18 +187,20 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     fit = written(sample.mapInArrow(measure, "toxic int, n long, best double, scores array<double>, counts array<long>"), "fit")
     share = fit.where("toxic = 0").select(F.explode(F.arrays_zip("scores", "counts")).alias("x")).groupBy("x.scores").agg(F.sum("x.counts").alias("n")).collect()  # scores are rounded: 100 values at most
-    model.lam, model.k = chance([r["scores"] for r in share], [r["n"] for r in share])
+    model.lam = decay([r["scores"] for r in share], [r["n"] for r in share])
     rows = fit.select("toxic", "n", "best").collect()  # about FIT_DOCS at most
-    x = np.array([Scorer(model).excess(r["best"], r["n"]) for r in rows])
+    model.k = extremes(model.lam, [(r["n"], r["best"]) for r in rows if not r["toxic"]])
+    scorer = Scorer(model)
+    x = np.array([math.asinh(scorer.excess(r["best"], max(1, r["n"]))) for r in rows])
     model.slope, model.offset = logistic(x, np.array([r["toxic"] for r in rows], float))
     return model
 
 
-def chance(scores: list[float], counts: list[int]) -> tuple[float, float]:
-    """lambda with sum p(s) exp(lambda s) = 1, by bisection, and a plain K; where no score is positive, lambda is 1."""
+def decay(scores: list[float], counts: list[int]) -> float:
+    """lambda with sum p(s) exp(lambda s) = 1, by bisection; where no score is positive, or scores grow, 1."""
     p, s = np.array(counts, float), np.array(scores, float)
     if not len(s) or s.max() <= 0 or (p @ s) >= 0:
-        return 1.0, 0.1
+        return 1.0
     p /= p.sum()
     low, high = 1e-6, 1.0
     while p @ np.exp(high * s) < 1:
@@ -189,7 +208,15 @@ def chance(scores: list[float], counts: list[int]) -> tuple[float, float]:
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if p @ np.exp(mid * s) < 1 else (low, mid)
-    return low, 0.1
+    return low
+
+
+def extremes(lam: float, best: list[tuple[int, float]]) -> float:
+    """K from (tokens, best segment's score) of clean documents: where the derivative of the log-likelihood is 0. A
+    document without any segment says that its score is below what can be measured, and counts so. Smoothed by one
+    document, so that K is positive."""
+    met = sum(1 for _, x in best if x > 0)
+    return (met + 1) / (sum(n * math.exp(-lam * x) for n, x in best) + 1 / 0.1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, float]:
@@ -223,8 +250,7 @@ def toxic_passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     schema = pa.schema([("doc_id", to_arrow_type(kind)), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("n_passages", pa.int64()), ("passages", passage)])
 
     def run(batches):
-        model = shared.value
-        scorer = Scorer(model)
+        scorer = Scorer(shared.value)
         for batch in batches:
             scores, passages = [], []
             for text in batch.column("text").to_pylist():
@@ -232,8 +258,7 @@ def toxic_passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
                 s = scorer.scores(WORD.findall(text.lower()))
                 segments = maximal_segments(s)
                 best = max((x[2] for x in segments), default=0.0)
-                x = model.slope * scorer.excess(best, max(1, len(s))) + model.offset
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, x)))))
+                scores.append(scorer.score(best, len(s)))
                 found = [(a, b, e) for a, b, v in segments if (e := scorer.excess(v, len(s))) >= PASSAGE]
                 if found:
                     at = [m.span() for m in WORD.finditer(text.lower())]

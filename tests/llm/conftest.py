@@ -1,5 +1,8 @@
 import pytest
 
+#: Names that operators give to columns of their own, with and without a leading underscore.
+CLASHES = """score size kept hash digest root cls row n text_sha256 start bucket id own skey length maybe best ranges number
+grp part block words spot_ bits_ deal_ salt_ v_id r_id _d _id _h _maybe _cls _own _passes""".split()
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -12,8 +15,8 @@ def odd(spark):
     rows = [(i, t, "en", f"s{i % 3}", 1) for i, t in enumerate(texts)]
     rows += [(None, "null id", None, None, None), (5, texts[5], "en", "s2", 1), (5, texts[5], "en", "s2", 1)]
     df = spark.createDataFrame(rows, DOCS)
-    for name in ("score", "size", "kept", "hash", "digest", "key", "root", "cls", "row", "n", "text_sha256", "start", "bucket"):
-        df = df.selectExpr("*", f"'x' AS {name}")
+    for name in CLASHES:
+        df = df.selectExpr("*", f"'x' AS `{name}`")
     return df
 
 

@@ -1,6 +1,7 @@
 """Operators that read each text on its own: against brute force and the libraries' own results."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -184,6 +185,84 @@ def test_regions_surge_and_dive():
     assert html_text.regions([0, 5, 0, 5, 0, 0, 0, 0, 3, 0]) == [(1, 4), (8, 9)]
 
 
+def kept_by_definition(weights, window=3):
+    """A line stays if it has weight, or is one of links with weight on both sides: near enough within the walls that it
+    stands between, or in a gap of fewer such lines than the window."""
+    out = []
+    for i, w in enumerate(weights):
+        before, after = [k for k in range(i) if weights[k] > 0], [k for k in range(i + 1, len(weights)) if weights[k] > 0]
+        if w > 0:
+            out.append(i)
+        elif w == 0 and before and after:
+            a, b = before[-1], after[0]
+            links = sum(x == 0 for x in weights[a + 1 : b])
+            if links < window:
+                out.append(i)
+    return out
+
+
+def test_kept_lines_by_definition():
+    rng = random.Random(8)
+    for _ in range(500):
+        w = [rng.choice([0, 0, 5, 9, -math.inf]) for _ in range(rng.randint(0, 14))]
+        assert html_text.kept_lines(w) == kept_by_definition(w), w
+
+
+def test_windows_decide_on_real_pages(spark, monkeypatch):
+    """Without them, menus and footers are text."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    with_ = list(map(html_text.main_text, pages))
+    monkeypatch.setattr(html_text, "kept_lines", lambda weights: range(len(weights)))
+    assert all(a != b for a, b in zip(with_, map(html_text.main_text, pages), strict=True))
+
+
+def random_page(rng):
+    """A page without <article>, and its text: paragraphs, lists, quotes and tables among menus, adverts and forms."""
+    word = lambda: rng.choice(["rain", "Tür", "a&amp;b", "x &lt; y", "<b>bold</b>", "<i>slow</i>ly", "see <a href='u'>it</a>"])
+    plain = lambda x: re.sub("<[^>]*>", "", x).replace("&lt;", "<").replace("&amp;", "&")
+    aside = ["<nav><ul><li><a href=1>Home</a><li><a href=2>More</a></ul></nav>", '<div class="ad banner"><p>Buy now</p></div>', "<form><p>Name</p><input name=q></form>", "<aside><p>By the way</p></aside>", '<div id="cookie-notice">We use them</div>', "<!-- <p>no</p> --><script>if (a<b) {'<p>no</p>'}</script>"]
+    parts, text = ["<html><head><title>T</title></head><body><header><p>Site</p></header>"], []
+    for _ in range(rng.randint(1, 12)):
+        if rng.random() < 0.35:
+            parts.append(rng.choice(aside))
+        line = " ".join(["Text", *(word() for _ in range(rng.randint(1, 9)))])
+        parts.append(rng.choice(["<p>{}</p>", "<p>{}", "<div>{}</div>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>", "<h2 class='x'>{}</h2>\n"]).format(line))
+        text.append(plain(line))
+    return "".join([*parts, "<footer><p>(c) 2024</p></footer></body></html>"]), "\n".join(text)
+
+
+def test_pages_without_an_article_lose_no_block():
+    rng = random.Random(3)
+    for _ in range(300):
+        page, text = random_page(rng)
+        assert html_text.main_text(page) == text, page
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<a "' * 250_000, '<a ">" ' * 150_000 + "'", "<b>" * 100_000 + "<p>x" * 50_000, "<div>" * 100_000 + "</x>" * 100_000, "<!--" * 250_000, "<script></script " * 60_000])
+def test_broken_markup_takes_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 10
+
+
+def test_tags_end_where_quotes_say():
+    tags = lambda page: [t for t in html_text.tokens_of(page)]
+    assert tags('<p title="1 > 0">x') == [("", "", "p", ' title="1 > 0"'), ("x", "", "", "")]
+    assert tags('<p title="1>x<b>y') == [("", "", "p", ' title="1'), ("x", "", "", ""), ("", "", "b", ""), ("y", "", "", "")]
+    assert tags("a < b <c") == [("a < b <c", "", "", "")]
+    assert tags("<script>a<b</script ><i/>") == [("", "", "i", "/")]
+
+
+def test_odd_pages(spark):
+    """Null ids, repeated rows, and columns that clash."""
+    rows = [(None, None, "<p>a</p>", "x"), (1, "u", None, "x"), (1, "u", "<p>b", "x"), (1, "u", "<p>b", "x"), (2, None, "", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string").selectExpr("*", "'y' AS n_chars", "'z' AS row")
+    got = html_text.extract_pages(df).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(None, None, "a", 1), (1, "u", "", 0), (1, "u", "b", 1), (1, "u", "b", 1), (2, None, "", 0)]))
+
+
 BODY = "".join(f"<p>Line {i} of the body, with enough words to weigh something.</p>" for i in range(8))
 LINES = [f"Line {i} of the body, with enough words to weigh something." for i in range(8)]
 
