@@ -173,10 +173,12 @@ def _open(uri: str):
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, kind: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int]]:
-    """Write shards in ascending doc_id order (null first, equal ids by text) and return (path, documents, ids) of each, in order.
+    """Write shards in ascending doc_id order (null first, equal ids by the hash of their text) and return (path, documents,
+    ids) of each, in order.
 
     kind is the width of an id in the files ("<u2" holds vocabularies below 65,536). Documents are dealt by ranges of
-    doc_id, so that shards follow each other; a shard is written under a name of its task's attempt and then renamed,
+    doc_id, hash and a number that tells rows alike in both, so that shards follow each other and no id, null neither, is
+    bound to one task; a shard is written under a name of its task's attempt and then renamed,
     so that a lost or repeated task leaves whole files only. What comes to the driver is a row per shard.
     """
     spark = docs.sparkSession
@@ -201,7 +203,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             fs.move(part, name)
             yield pa.RecordBatch.from_pydict({"shard": [context.partitionId()], "path": [f"{folder}/{name.rpartition('/')[2]}"], "docs": [n], "ids": [total]})
 
-    dealt = docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text", f"xxhash64(`{text_col}`) AS hash", "monotonically_increasing_id() % 1024 AS alike")
+    dealt = dealt.repartitionByRange("doc_id", "hash", "alike").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
     shards = dealt.mapInArrow(run, "shard long, path string, docs long, ids long").collect()
     return [(r.path, r.docs, r.ids) for r in sorted(shards, key=lambda r: r.shard)]
 
@@ -234,7 +237,7 @@ def token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
     """Encode, write the files to the shared folder, and return what reading them back gives.
 
     A null text counts as empty: its only id is the end id. Documents without an id come first; rows with the same
-    doc_id follow each other in the order of their texts. An empty table gives no file and no row. Other columns are
+    doc_id follow each other in the order of their texts' hashes. An empty table gives no file and no row. Other columns are
     ignored.
     """
     folder = shared_folder(docs.sparkSession)

@@ -72,6 +72,15 @@ def test_token_files_are_the_library(spark, odd, none):
     assert token_files.token_files(none, JSON, 2).count() == 0
 
 
+def test_one_id_goes_to_many_shards(spark, tmp_path):
+    df = spark.range(600).selectExpr("IF(id % 3 = 0, NULL, 7) AS doc_id", "IF(id % 2 = 0, 'one text', CONCAT('t', id)) AS text").repartition(4)
+    shards = token_files.write_token_files(df, f"file://{tmp_path}/out", JSON, 2)
+    assert len(shards) >= 3 and sum(n for _, n, _ in shards) == 600 and max(n for _, n, _ in shards) < 400
+    got = token_files.read_token_files(spark, shards).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 200 + [7] * 400
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False))
+
+
 def test_shard_reads_only_the_frames_asked_for(tmp_path):
     path = tmp_path / "x"
     writer = token_files.ShardWriter(open(path, "wb"), "<u2", 64)
