@@ -206,10 +206,10 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: each node's larger neighbours to the least of its neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         around = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = dealt_join(both.where("b > a"), around, "a", F.col("b")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = dealt_join(both.where("b > a"), around, "a", F.col("b"), merge=True).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: each node and its smaller neighbours to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = dealt_join(large, low, "a", F.col("b")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.withColumnRenamed("m", "b"))
+        small = dealt_join(large, low, "a", F.col("b"), merge=True).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.withColumnRenamed("m", "b"))
         edges = written(small.distinct(), "edges")
         after = facts(edges)
         if before == after:
@@ -315,12 +315,12 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = written(seen.where("sig IS NOT NULL").groupBy("cls").agg(F.first("roots").alias("roots"), F.first("sig").alias("sig")), "sets")
     near = components(candidates(bucketed(sets)))
     size = near.groupBy("root").agg(F.count("*").alias("n"))
-    sized = dealt_join(near, size, "root", F.col("node"))
+    sized = dealt_join(near, size, "root", F.col("node"), merge=True)
     members = written(sized.join(per_set, sized["node"] == per_set["cls"]).select("cls", "copies", "doc_id", "root", "n"), "members")
     edges, links = exact_links(docs, members, id_col, text_col)
     # sets that links connect, each with its component's least doc_id; the others are alone
     joined = components(edges).select(F.col("node").alias("cls"), "root").join(members.select("cls", "doc_id"), "cls")
-    joined = dealt_join(joined, joined.groupBy("root").agg(least_id().alias("class_id")), "root", F.col("cls")).select("cls", "root", "class_id", F.lit(True).alias("met"))
+    joined = dealt_join(joined, joined.groupBy("root").agg(least_id().alias("class_id")), "root", F.col("cls"), merge=True).select("cls", "root", "class_id", F.lit(True).alias("met"))
     labels = per_set.join(joined, "cls", "left").join(links, "cls", "left")
     zero = F.lit(0).cast("long")
     facts = labels.select("cls", "copies", F.coalesce("root", "cls").alias("root"), F.when(F.col("met"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), (F.coalesce("links", zero) + F.col("copies") - 1).alias("n_links"), F.coalesce("links_sets", zero).alias("n_set_links"))

@@ -59,22 +59,22 @@ def marked(rows: DataFrame, key: Column, members: DataFrame, member: Column, nam
     return found.withColumn(name, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("spot_", "part_", "bits_")
 
 
-def dealt_join(many: DataFrame, one: DataFrame, key: str, spread: Column, how: str = "inner") -> DataFrame:
+def dealt_join(many: DataFrame, one: DataFrame, key: str, spread: Column, merge: bool = False) -> DataFrame:
     """many joined to `one`, which has a row per key and is small beside many. Each key's rows are dealt to PARTS parts
-    by the hash of `spread`, and its row of `one` goes to each of them."""
+    by the hash of `spread`, and its row of `one` goes to each of them. merge: by a sort-merge join at any size."""
     left = many.withColumn("salt_", F.pmod(F.xxhash64(spread), F.lit(PARTS)).cast("int"))
     right = one.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    return left.join(right, [key, "salt_"], how).drop("salt_")
+    return left.join(right.hint("merge") if merge else right, [key, "salt_"]).drop("salt_")
 
 
-def hot_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, spread: Column, how: str = "inner") -> DataFrame:
-    """The same for a large `one`: only the rows of hot keys (hot: hot_) are dealt. Which keys those are is told by a
+def hot_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, spread: Column) -> DataFrame:
+    """The same for a large `one`, by a sort-merge join at any size: only the rows of hot keys (hot: hot_) are dealt. Which keys those are is told by a
     bitmap on both sides; what it takes for hot by chance is dealt as well, to the same result."""
     left = marked(many, F.col(key), hot, F.col("hot_"), "deal_", HOT_BITMAP)
     right = marked(one, F.col(key), hot, F.col("hot_"), "deal_", HOT_BITMAP)
     left = left.withColumn("salt_", F.when(F.col("deal_"), F.pmod(F.xxhash64(spread), F.lit(PARTS))).otherwise(0).cast("int")).drop("deal_")
     right = right.withColumn("salt_", F.explode(F.when(F.col("deal_"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))))).drop("deal_")
-    return left.join(right, [key, "salt_"], how).drop("salt_")
+    return left.join(right.hint("merge"), [key, "salt_"]).drop("salt_")
 
 
 def blocks(batches, columns: list[str], most: int = 8 << 20):

@@ -50,6 +50,24 @@ def test_tokens_are_those_of_the_mix(stages):
     assert sorted((r["doc_id"], r["ids_sha256"]) for r in stages[4].collect()) == want
 
 
+def test_odd_rows_go_through_all_stages(spark, odd, none):
+    """Extra columns stay, whatever their names, until the last stage; what is kept follows the rules of each stage."""
+    from quarry.llm.shared import written
+
+    long_ = odd.where("length(text) > 100").selectExpr(*(f"CAST(NULL AS BIGINT) AS {c}" if c == "doc_id" else f"`{c}`" for c in odd.columns))
+    more = spark.range(90).selectExpr("id % 30 AS doc_id", "concat_ws(' ', transform(sequence(1, 60), x -> concat('w', x * (id % 30 + 2)))) AS text", "'en' AS lang", "IF(id % 2 = 0, NULL, 's') AS source", "1L AS n_chars", *(f"'x' AS `{c}`" for c in odd.columns[5:]))
+    docs, counts = odd.unionByName(long_).unionByName(more), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, ""), "stage")
+        assert docs.columns == odd.columns
+        counts.append(docs.count())
+    assert counts[1] <= counts[0] and counts[2] <= counts[1] == len({C.squeezed(r["text"]) for r in more.unionByName(long_).collect()}) and counts[3] > 0
+    assert written(corpus_pipeline.STAGES[-1][1](spark, docs, ""), "stage").count() == counts[3]
+    for _, stage in corpus_pipeline.STAGES:
+        none = written(stage(spark, none, ""), "stage")
+        assert none.count() == 0
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_sql(name, same):
     same(queries.QUERIES[name], queries.ORACLE_SQL[name])
