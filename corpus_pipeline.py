@@ -1,7 +1,8 @@
 """From raw documents to token ids: quality rules, exact dedup, near dedup, mixing, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and gets what its predecessor kept, as a table; all but the last return the
-columns of documents.
+columns of documents. In every stage a null text counts as empty, rows with a null or repeated doc_id are documents of
+their own, extra columns of any name are carried along, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,28 +20,30 @@ from quarry.llm.shared import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go; empty and null texts are among them."""
     return quality_filter(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one stays."""
+    """Of equal texts one stays: the longest, then the least doc_id (null first), then any of rows alike in both."""
     return exact_dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that similar texts connect one document stays."""
+    """Of each group that similar texts connect one document stays: the least doc_id, null first. Texts without words all
+    stay."""
     return one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of each source to its target; a document comes once for each pass that takes words of it."""
+    """Words of each source to its target (null is a source); a document comes once for each pass that takes words of it.
+    n_chars, if there is one, is that of the words that were taken."""
     mixed = mix_documents(docs)
     return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else mixed
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of the mix."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of the mix; other columns end here."""
     return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
