@@ -21,18 +21,31 @@ def trim(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
+#: White space that is not one plain space already: what collapsing has to touch.
+_UNEVEN = rf" {SPACE}+|{SPACE.replace(chr(92) + 's', chr(92) + 't' + chr(92) + 'n' + chr(92) + 'f' + chr(92) + 'r')}{SPACE}*"
+
+
 def collapse(text: Column) -> Column:
-    return F.regexp_replace(text, f"{SPACE}+", " ")
+    """Runs of white space as one space each."""
+    return F.regexp_replace(text, _UNEVEN, " ")
 
 
 def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+#: One pass over lower-case text: whole runs of letters and digits that are neither stop words nor single letters.
+_TERM = rf"(?<![a-z0-9])(?!(?:{'|'.join(V.STOP_WORDS)}|[a-z])(?![a-z0-9]))[a-z0-9]+"
+
+
 def tokenize(text: Column) -> Column:
     """Lower-case runs of letters and digits, without stop words and single letters; single digits stay."""
-    stop = F.array(*map(F.lit, V.STOP_WORDS))
-    return F.filter(raw_tokens(text), lambda t: ((F.length(t) >= 2) | t.rlike("[0-9]")) & ~F.array_contains(stop, t))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TERM), F.lit(0))
+
+
+def named(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def term_id(term: Column) -> Column:
@@ -75,13 +88,26 @@ def embedded_json(text: Column, schema: str) -> Column:
 
 def normalise(text: Column) -> Column:
     """Without zero-width and direction marks, white space collapsed: what guard rules are matched against."""
-    return collapse(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x{200B}-\x{200F}\x{202A}-\x{202E}]", ""))
+    return collapse(F.translate(F.coalesce(text, F.lit("")), "\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e", ""))
 
 
 def _first_rule(clean: Column, rules, soften: bool) -> Column:
-    legal = clean.rlike(java(V.LEGAL_SUBJECT))
-    tests = [F.when(clean.rlike(java(p)) & ~legal if soft and soften else clean.rlike(java(p)), F.lit(name)) for name, soft, p in rules]
-    return F.coalesce(*tests)
+    """Name of the first rule that the text breaks. Of each rule's words one must be there at all; only then its pattern
+    is tried."""
+
+    def tests(text: Column, lower: Column) -> Column:
+        legal = text.rlike(java(V.LEGAL_SUBJECT))
+        found = []
+        for name, soft, p in rules:
+            words = [lower.contains(w) for w in V.TRIGGERS[p]]
+            there = words[0]
+            for w in words[1:]:
+                there = there | w
+            hit = there & text.rlike(java(p))
+            found.append(F.when(hit & ~legal if soft and soften else hit, F.lit(name)))
+        return F.coalesce(*found)
+
+    return named(F.struct(clean.alias("text"), F.lower(clean).alias("lower")), lambda x: tests(x["text"], x["lower"]))
 
 
 def find_injection(text: Column) -> Column:

@@ -66,6 +66,17 @@ DOCUMENT_RULES = [
     ("document_directive", False, r"\b(important|note)\b[^.\n]{0,15}\b(for|to) (the )?(ai|assistant|model|language model)\b"),
 ]
 
+#: Of each guard rule's pattern: words of which every match has one (lower-case, white space as one space).
+_ORDERS, _ROLES = ["ignore", "disregard", "forget", "override", "bypass"], ["pretend", "roleplay", "role-play", "imagine", "act as"]
+_WORDS = [
+    _ORDERS, _ORDERS, _ORDERS[:3], ["system prompt"], ["instruction", "prompt", "rules", "guidelines"], ["you are now"], ["from now on", "starting now"], _ROLES, _ROLES[:4], ["act as"],
+    ["developer mode", "do anything now", "dan mode"], ["no longer"], ["restrictions", "filters", "guardrails"], ["cite", "citing", "citation", "source", "disclaimer"],
+    ["only with", "with only", "nothing but", "exactly the following", "the following text"], ["response", "answer", "replies"],
+    ["law firm", "advocate", "attorney", "lawyer", "chambers"], ["assistant", "language model", "chatbot", "llm", *(f"ai {w}" for w in ("must", "should", "shall", "always", "never", "is required"))],
+    ["when asked", "when answering", "when responding"], [f"{a} {b}{c}" for a in ("for", "to") for b in ("", "the ") for c in ("ai", "assistant", "model", "language model")],
+]
+TRIGGERS = {pattern: words for (_, _, pattern), words in zip([*RULES, *DOCUMENT_RULES], _WORDS, strict=True)}
+
 # --- fixed values: whole messages that are small talk (kind, pattern), in order, case-insensitive ----------------
 SMALL_TALK = [
     ("greeting", r"^(hi|hey|hello|yo|namaste|good\s+(morning|afternoon|evening))[\s!.?]*$"),

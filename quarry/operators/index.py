@@ -38,14 +38,18 @@ def idf(n_docs, df):
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def postings(tokenised: DataFrame, stats: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(id, term, tf, weight): the document side of BM25, made once at index time, or for some terms alone. stats is
-    one row."""
+def weighted(frequencies: DataFrame, stats: DataFrame) -> DataFrame:
+    """(id, term, tf, weight) of term frequencies; stats is one row."""
     norm = F.when(F.col("avg_length") == 0, F.lit(1.0)).otherwise(1 - V.B + V.B * F.col("length") / F.col("avg_length"))
-    rows = term_frequency(tokenised, only).crossJoin(F.broadcast(stats))
+    rows = frequencies.crossJoin(F.broadcast(stats))
     return rows.select("id", "term", "tf", (F.col("tf") * (V.K1 + 1) / (F.col("tf") + V.K1 * norm)).alias("weight"))
 
 
+def postings(tokenised: DataFrame, stats: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, weight): the document side of BM25, made once at index time, or for some terms alone."""
+    return weighted(term_frequency(tokenised, only), stats)
+
+
 def query_terms(queries: DataFrame, qid: str, text_col: str, stats: DataFrame, df: DataFrame) -> DataFrame:
     """(qid, term, idf): the different terms of each query."""
     terms = queries.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(X.tokenize(F.col(text_col)))).alias("term"))

@@ -117,10 +117,15 @@ def histogram_quantile(buckets: DataFrame, label: str, q: float) -> DataFrame:
     return rows.select(label, F.when(F.col("le").isNull(), F.col("low")).when(F.col("n") == F.col("below"), F.col("le")).otherwise(inside).alias("value"))
 
 
-def percentile(values: Column, p: float) -> Column:
-    """Of an array: the value at index floor(n * p), not interpolated; 0 if empty."""
-    n = F.size(values)
-    return F.when(n == 0, 0.0).otherwise(F.element_at(F.sort_array(values), F.least(n, F.floor(n * p).cast("int") + 1)))
+def percentiles(rows: DataFrame, label: str, value: str, ps: dict[str, float]) -> DataFrame:
+    """(label, one column per p): the value at index floor(n * p) of a label's values in order, not interpolated; nulls
+    are no values, and a label without any gets 0. Equal values are counted first; only counts are ordered."""
+    counts = rows.groupBy(label, value).agg(F.count(value).alias("n"))
+    upto, all_ = Window.partitionBy(label).orderBy(F.asc_nulls_first(value)), Window.partitionBy(label)
+    placed = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(all_))
+    at = lambda p: F.least(F.col("total") - 1, F.floor(F.col("total") * p))
+    first = lambda p: F.min(F.when(F.col("upto") > at(p), F.col(value)))
+    return placed.groupBy(label).agg(*(F.coalesce(first(p), F.lit(0.0)).alias(name) for name, p in ps.items()))
 
 
 def ranking_metrics(results: DataFrame, expected: DataFrame) -> DataFrame:

@@ -18,10 +18,14 @@ def top(rows: DataFrame, k: int, by: str = "score", qid: str = "qid", key: str =
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def sparse_scores(query_terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """(qid, id, score): sums of weight times idf over shared terms."""
+    return postings.join(query_terms, "term").groupBy("qid", "id").agg(F.round(F.sum(F.col("weight") * F.col("idf")), 6).alias("score"))
+
+
 def sparse_leg(query_terms: DataFrame, postings: DataFrame, k: int = V.POOL) -> DataFrame:
-    """(qid, id, score, rank): sums of weight times idf over shared terms."""
-    score = postings.join(query_terms, "term").groupBy("qid", "id").agg(F.round(F.sum(F.col("weight") * F.col("idf")), 6).alias("score"))
-    return top(score, k)
+    """(qid, id, score, rank): the k best of each query."""
+    return top(sparse_scores(query_terms, postings), k)
 
 
 def cosine(a: Column, b: Column) -> Column:

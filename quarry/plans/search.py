@@ -13,7 +13,7 @@ from quarry.functions import text as X
 from quarry.functions import values as V
 from quarry.operators import index as I
 from quarry.operators import retrieval as R
-from quarry.sources.tables import table
+from quarry.sources.tables import table, written
 
 
 def _tokens(spark, d) -> DataFrame:
@@ -21,12 +21,15 @@ def _tokens(spark, d) -> DataFrame:
 
 
 def _bm25(spark, d):
-    """Statistics, document frequencies, postings and query terms; the postings of terms that no query has are not
-    built."""
-    t = _tokens(spark, d)
-    stats, df = I.corpus_stats(t), I.document_frequency(t)
-    q = I.query_terms(table(spark, d, "benchmark"), "item_id", "text", stats, df)
-    return stats, df, I.postings(t, stats, q.select("term").distinct()), q
+    """Statistics, document frequencies, postings and query terms, of the terms that a query has: the others' postings
+    are not built. Texts are tokenised once, and term frequencies counted once, to tables that the others read; each
+    document has one row of a term, so that counting rows gives document frequencies."""
+    t = written(_tokens(spark, d), "tokens")
+    stats = I.corpus_stats(t)
+    own = table(spark, d, "benchmark").select(F.explode(F.array_distinct(X.tokenize(F.col("text")))).alias("term")).distinct()
+    tf = written(I.term_frequency(t, own), "frequencies")
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    return stats, df, I.weighted(tf, stats), I.query_terms(table(spark, d, "benchmark"), "item_id", "text", stats, df)
 
 
 def tokenize_counts(spark, d):
@@ -122,11 +125,16 @@ def dense_topk_filtered(spark, d):
     return R.top(rows, 10).select("qid", F.col("id").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
-def _sparse(spark, d, keep=None):
+def _scores(spark, d):
     _, _, postings, q = _bm25(spark, d)
+    return R.sparse_scores(q, postings)
+
+
+def _sparse(spark, d, keep=None):
+    scores = _scores(spark, d)
     if keep is not None:
-        postings = postings.join(table(spark, d, "documents").where(keep).select(F.col("doc_id").alias("id")), "id", "left_semi")
-    return R.sparse_leg(q, postings)
+        scores = scores.join(table(spark, d, "documents").where(keep).select(F.col("doc_id").alias("id")), "id", "left_semi")
+    return R.top(scores, V.POOL)
 
 
 def rrf_fusion(spark, d):
@@ -175,9 +183,11 @@ def exact_lookup_pin(spark, d):
 
 
 def _two(spark, d):
-    """Even documents as the statute, odd ones as uploads."""
-    even, odd = "doc_id % 2 = 0", "doc_id % 2 = 1"
-    return R.merge_corpora(*(R.hybrid(_dense(spark, d, keep), _sparse(spark, d, keep)) for keep in (even, odd)))
+    """Even documents as the statute, odd ones as uploads. Scores are computed once for both, and so is their merge,
+    whatever reads it."""
+    scores = written(_scores(spark, d), "scores")
+    legs = lambda side: R.hybrid(_dense(spark, d, f"doc_id % 2 = {side}"), R.top(scores.where(f"id % 2 = {side}"), V.POOL))
+    return written(R.merge_corpora(legs(0), legs(1)), "merged")
 
 
 def two_corpora_merge(spark, d):
@@ -196,14 +206,15 @@ def diversify_cap2(spark, d):
 def _rerank(spark, d, ranked):
     """Scores of the local reranker: share of the question's terms that the document's first characters have."""
     q = I.tokens(table(spark, d, "benchmark"), "item_id", "text").select(F.col("id").alias("qid"), F.array_distinct("terms").alias("q"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(X.tokenize(F.substring("text", 1, V.RERANK_CHARS))).alias("t"))
     pool = ranked.where(F.col("rank") <= V.RERANK_POOL).select("qid", "id")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").join(pool.select("id").distinct(), "id", "left_semi")
+    docs = docs.select("id", F.array_distinct(X.tokenize(F.substring("text", 1, V.RERANK_CHARS))).alias("t"))
     rows = pool.join(docs, "id").join(q, "qid")
     return rows.select("qid", "id", F.round(F.size(F.array_intersect("q", "t")) / F.greatest(F.size("q"), F.lit(1)), 6).alias("rerank_score"))
 
 
 def rerank_pool_order(spark, d):
-    ranked = R.hybrid(_dense(spark, d), _sparse(spark, d))
+    ranked = written(R.hybrid(_dense(spark, d), _sparse(spark, d)), "ranked")
     return _out(R.rerank_order(ranked, _rerank(spark, d, ranked)), "rerank_score")
 
 

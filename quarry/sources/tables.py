@@ -8,8 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a table up to which its rows are dealt to all cores where it has fewer files: a file of one row group is
+#: otherwise read, and its texts worked on, by one task.
+SMALL_TABLE = 64 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows of a small table in a few files, dealt to all cores; any other table as it is, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if size <= SMALL_TABLE and len(rows.inputFiles()) < cores else rows
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table of the folder; those of texts are spread."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def shared_folder(spark: SparkSession, name: str = "quarry") -> str:
