@@ -35,12 +35,12 @@ def raw_tokens(text: Column) -> Column:
 
 
 #: One pass over lower-case text: whole runs of letters and digits that are neither stop words nor single letters.
-_TERM = rf"(?<![a-z0-9])(?!(?:{'|'.join(V.STOP_WORDS)}|[a-z])(?![a-z0-9]))[a-z0-9]+"
+TERM = rf"(?<![a-z0-9])(?!(?:{'|'.join(V.STOP_WORDS)}|[a-z])(?![a-z0-9]))[a-z0-9]+"
 
 
 def tokenize(text: Column) -> Column:
     """Lower-case runs of letters and digits, without stop words and single letters; single digits stay."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TERM), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
 
 
 def named(value: Column, f) -> Column:

@@ -116,3 +116,40 @@ TABLE_COLUMNS = [
 ]
 HEADER_Y, TABLE_HEADER_Y, TABLE_FOOTER_Y, LINE_TOLERANCE, MARGIN_GAP, MARGIN_HEIGHT, MARGIN_LEFT, MARGIN_RIGHT = 765, 760, 55, 2.5, 15, 9, 110, 470
 PARAGRAPH_GAP, COLUMN_SLACK = 1.6, 2
+
+# --- fixed values: stages of an ingest job, and texts for refusals and errors -----------
+STAGES = ["parsing", "chunking", "embedding", "ready"]
+REFUSALS = {
+    "injection": "That request tries to change how I work, so I will not act on it. Ask me about the BNSS instead.",
+    "unsafe": "I cannot help with that.",
+    None: "I only answer questions about Indian criminal law from the Bharatiya Nagarik Suraksha Sanhita, 2023.",
+}
+ERRORS = {
+    "payload_too_large": "That file is over the size limit. Try a smaller PDF.",
+    "unsupported_media_type": "Only PDF files can be uploaded.",
+    "rate_limited": "Too many requests. Wait a moment and try again.",
+    "upstream_unavailable": "The model did not respond in time. Try again.",
+    "not_found": "That item no longer exists.",
+    "validation_error": "The request was rejected as invalid.",
+    "internal_error": "Something broke on the server.",
+    None: "Something went wrong.",
+}
+
+# --- fixed values: what heads a form, refers to a section, names an act in a margin, or ends a table; UI markers --
+FORM_HEADER = r"(?i)^FORM\s*No\.?\s*(\d{1,3})\b"
+SEE_REFERENCE = r"(?i)^[\[(]\s*See\s+sections?\s*(.+?)\s*[\])]\s*$"
+PART_TWO = r"^II\.\s*[—–-]"
+ACT_REFERENCE = r"^\d+\s+of\s+\d{4}\b"
+UI_MARKER = r"\[[^\[\]\n]{2,80}\]"
+
+# --- fixed values: configurations of the evaluation (name, fusion's constant, reranked pool, characters it sees) ---
+SWEEP = [
+    ("no reranker, RRF k=60", 60, 0, 0),
+    ("no reranker, RRF k=20", 20, 0, 0),
+    ("pool 6, truncated 700", 20, 6, 700),
+    ("pool 12, truncated 700", 20, 12, 700),
+    ("pool 6, full text", 20, 6, 1800),
+    ("pool 12, full text", 20, 12, 1800),
+    ("pool 25, full text", 20, 25, 1800),
+    ("pool 40, full text", 20, 40, 1800),
+]

@@ -109,7 +109,8 @@ def find_references(spark, d):
 
 
 def title_case_slug(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 60), "[^\\x00-\\x7F]", "").alias("t"))
+    """Whole documents and two inline titles, in ASCII, as SQL engines differ on other letters."""
+    rows = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^\\x00-\\x7F]", "").alias("t"))
     rows = rows.unionByName(spark.createDataFrame([(-1, "BOND AND BAIL-BOND FOR ATTENDANCE BEFORE THE officer-in-charge"), (-2, "  under the (act) of peace  ")], "doc_id long, t string"))
     return rows.select("doc_id", X.title_case(F.col("t")).alias("title"), X.slug(F.col("t")).alias("slug"), X.safe_filename(F.col("t")).alias("file"))
 
@@ -184,7 +185,7 @@ SQL = {
     "prose_invented": f"WITH {_VALID} SELECT aid, invented, valid FROM final",
     "marker_gate": f"WITH {_ANS}, r AS (SELECT aid, answer, regexp_extract(answer, '\\[[^\\]]*$') AS rest FROM ans) SELECT aid, CASE WHEN rest <> '' AND {_m('rest', V.HALF_CITATION)} THEN substr(answer, 1, length(answer) - length(rest)) ELSE answer END AS shown FROM r",
     "find_references": f"WITH {_QS} SELECT qid, array_to_string(list_transform(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(q, {_q(V.REFERENCES)}, 1, 'i') || regexp_extract_all(q, {_q(V.REFERENCES)}, 2, 'i'), lambda x: x <> ''), lambda x: x::INTEGER))), lambda x: x::VARCHAR), ',') AS refs FROM qs",
-    "title_case_slug": "WITH t AS (SELECT doc_id, regexp_replace(substr(text, 1, 60), '[^\\x00-\\x7F]', '', 'g') AS t FROM documents UNION ALL SELECT * FROM (VALUES (-1, 'BOND AND BAIL-BOND FOR ATTENDANCE BEFORE THE officer-in-charge'), (-2, '  under the (act) of peace  '))), w AS (SELECT *, list_filter(regexp_split_to_array(lower(t), '\\s+'), lambda x: x <> '') AS w FROM t) SELECT doc_id, " + _TITLE + " AS title, regexp_replace(regexp_replace(regexp_replace(lower(t), '''', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, right(regexp_replace(t, '[^A-Za-z0-9_.-]', '_', 'g'), 80) AS file FROM w",
+    "title_case_slug": "WITH t AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS t FROM documents UNION ALL SELECT * FROM (VALUES (-1, 'BOND AND BAIL-BOND FOR ATTENDANCE BEFORE THE officer-in-charge'), (-2, '  under the (act) of peace  '))), w AS (SELECT *, list_filter(regexp_split_to_array(lower(t), '\\s+'), lambda x: x <> '') AS w FROM t) SELECT doc_id, " + _TITLE + " AS title, regexp_replace(regexp_replace(regexp_replace(lower(t), '''', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, right(regexp_replace(t, '[^A-Za-z0-9_.-]', '_', 'g'), 80) AS file FROM w",
     "sse_frames": "SELECT conv_id, turn, sha256('event: token' || chr(10) || 'data: ' || text || chr(10) || chr(10)) AS frame_sha256 FROM conversations",
 }
 #: Java and DuckDB differ on accents: tests/test_whole.py compares with Python.

@@ -46,17 +46,9 @@ def chunk_documents(spark, d):
 
 
 def chunk_page_ranges(spark, d):
-    """Documents of a source number as pages of one upload: which pages each chunk holds."""
-    return _page_ranges(table(spark, d, "documents").where("n_chars < 3000"))
-
-
-def chunk_page_ranges_whole(spark, d):
-    """The same over all documents, long ones and those without n_chars too."""
-    return _page_ranges(table(spark, d, "documents"))
-
-
-def _page_ranges(docs):
-    docs = docs.select(F.expr("doc_id div 10").alias("upload"), F.expr("doc_id % 10 + 1").alias("page"), "text")
+    """Documents in tens as the pages of an upload, long ones and those without n_chars too: which pages each chunk
+    holds."""
+    docs = table(spark, d, "documents").select(F.expr("doc_id div 10").alias("upload"), F.expr("doc_id % 10 + 1").alias("page"), "text")
     rows = C.chunk_documents(docs, "upload", "page")
     return rows.select(F.col("id").alias("upload"), F.col("chunk_index").cast("long").alias("chunk_index"), "page_start", "page_end", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
@@ -88,17 +80,16 @@ def table_cells(spark, d):
 
 
 def _forms(spark, d):
-    """A manifest made from parts: number, title, reference and recognised pages."""
-    p = table(spark, d, "part").where("p_partkey <= 58")
-    return p.select(F.col("p_partkey").alias("form_number"), F.expr("CASE p_partkey % 5 WHEN 0 THEN left(p_name, 5) WHEN 1 THEN repeat(p_name, 6) ELSE p_name END").alias("title"), F.expr("CASE WHEN p_partkey % 3 > 0 THEN p_type END").alias("see"), F.expr("CAST(p_partkey % 4 = 0 AS INT)").alias("n_ocr"), F.expr("190 + p_partkey").alias("start_page"))
+    """Parts as the forms of manifests, 58 each: number, title, reference and recognised pages."""
+    return table(spark, d, "part").select(F.expr("(p_partkey - 1) div 58").alias("manifest"), F.expr("(p_partkey - 1) % 58 + 1").alias("form_number"), F.expr("CASE p_partkey % 5 WHEN 0 THEN left(p_name, 5) WHEN 1 THEN repeat(p_name, 6) ELSE p_name END").alias("title"), F.expr("CASE WHEN p_partkey % 3 > 0 THEN p_type END").alias("see"), F.expr("CAST(p_partkey % 4 = 0 AS INT)").alias("n_ocr"), F.expr("190 + (p_partkey - 1) % 58 + p_partkey % 2").alias("start_page"))
 
 
 def form_ranges(spark, d):
-    return L.form_ranges(_forms(spark, d).select("form_number", "start_page"), 249)
+    return L.form_ranges(_forms(spark, d).select("manifest", "form_number", "start_page"), 249, "manifest")
 
 
 def form_confidence(spark, d):
-    return L.form_confidence(_forms(spark, d)).select("form_number", "confidence", F.array_join("reasons", ";").alias("reasons"), "needs_review")
+    return L.form_confidence(_forms(spark, d)).select("manifest", "form_number", "confidence", F.array_join("reasons", ";").alias("reasons"), "needs_review")
 
 
 def form_search(spark, d):
@@ -106,7 +97,7 @@ def form_search(spark, d):
     forms = _forms(spark, d)
     found = None
     for q in ("a", "12", "  "):
-        hit = L.form_search(forms, q).select(F.lit(q).alias("query"), "form_number")
+        hit = L.form_search(forms, q).select(F.lit(q).alias("query"), "manifest", "form_number")
         found = hit if found is None else found.unionByName(hit)
     return found
 
@@ -172,22 +163,23 @@ lines AS (SELECT doc_id, page, line_no, max(y) AS y, min(x) AS x, {_trim(_coll("
 _LINES = "list_filter(string_split(text, chr(10)), lambda t: t <> '')"
 _MARGIN = "height < 9 AND (x < 110 OR x > 470)"
 _COL = "CASE " + " ".join(f"WHEN x >= {start - V.COLUMN_SLACK} THEN '{key}'" for key, start, _ in reversed(V.TABLE_COLUMNS[1:])) + " ELSE 'section' END"
-_FORMS = "forms AS (SELECT p_partkey AS form_number, CASE p_partkey % 5 WHEN 0 THEN left(p_name, 5) WHEN 1 THEN repeat(p_name, 6) ELSE p_name END AS title, CASE WHEN p_partkey % 3 > 0 THEN p_type END AS see, (p_partkey % 4 = 0)::INTEGER AS n_ocr, 190 + p_partkey AS start_page FROM part WHERE p_partkey <= 58)"
+_FORMS = "forms AS (SELECT (p_partkey - 1) // 58 AS manifest, (p_partkey - 1) % 58 + 1 AS form_number, CASE p_partkey % 5 WHEN 0 THEN left(p_name, 5) WHEN 1 THEN repeat(p_name, 6) ELSE p_name END AS title, CASE WHEN p_partkey % 3 > 0 THEN p_type END AS see, (p_partkey % 4 = 0)::INTEGER AS n_ocr, 190 + (p_partkey - 1) % 58 + p_partkey % 2 AS start_page FROM part)"
 
 SQL = {
     "split_markers": f"WITH {_PARTS} SELECT doc_id, len(p) AS n_parts, sha256(array_to_string(p, chr(10))) AS parts_sha256 FROM parts",
     "attach_blocks": f"WITH {_BLOCKS} SELECT doc_id, coalesce(n, 0) AS n_blocks, sha256(coalesce(s, '')) AS blocks_sha256 FROM sect LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(label || '|' || text, chr(10) ORDER BY b) AS s FROM blocks GROUP BY doc_id) USING (doc_id)",
     "pack_sections": f"SELECT doc_id, len(p) AS n_chunks, sha256(array_to_string(p, chr(10))) AS chunks_sha256 FROM (SELECT doc_id, {_pack(_LINES, V.STATUTE_CHARS)} AS p FROM documents)",
     "chunk_documents": "WITH RECURSIVE src AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents), " + _chunks("doc_id", "1", "doc_id", "bi, k") + " SELECT doc_id, chunk_index, length(c.t) AS n_chars, sha256(c.t) AS text_sha256 FROM flat",
-    "chunk_page_ranges": "WITH RECURSIVE src AS (SELECT doc_id // 10 AS upload, (doc_id % 10 + 1)::INTEGER AS page, text FROM documents WHERE n_chars < 3000), " + _chunks("upload, page", "page", "upload", "page, bi, k") + " SELECT upload, chunk_index, c.a AS page_start, c.z AS page_end, sha256(c.t) AS text_sha256 FROM flat",
-    "chunk_page_ranges_whole": "WITH RECURSIVE src AS (SELECT doc_id // 10 AS upload, (doc_id % 10 + 1)::INTEGER AS page, text FROM documents), " + _chunks("upload, page", "page", "upload", "page, bi, k") + " SELECT upload, chunk_index, c.a AS page_start, c.z AS page_end, sha256(c.t) AS text_sha256 FROM flat",
+    "chunk_page_ranges": "WITH RECURSIVE src AS (SELECT doc_id // 10 AS upload, (doc_id % 10 + 1)::INTEGER AS page, text FROM documents), " + _chunks("upload, page", "page", "upload", "page, bi, k") + " SELECT upload, chunk_index, c.a AS page_start, c.z AS page_end, sha256(c.t) AS text_sha256 FROM flat",
     "line_islands": f"WITH {_lines('true')} SELECT doc_id, page, y, x, text FROM lines",
     "margin_blocks": f"WITH {_lines(_MARGIN)}, b0 AS (SELECT *, coalesce(lag(y) OVER (PARTITION BY doc_id, page ORDER BY y DESC) - y > 15, true)::INTEGER AS new FROM lines), b1 AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY y DESC) AS b FROM b0) SELECT doc_id, page, max(y) AS top_y, string_agg(text, ' ' ORDER BY y DESC) AS text FROM b1 GROUP BY doc_id, page, b",
     "page_paragraphs": f"WITH {_lines('true')}, g AS (SELECT *, lag(y) OVER (PARTITION BY doc_id, page ORDER BY y DESC) - y AS gap FROM lines), m AS (SELECT doc_id, page, list_sort(list(gap) FILTER (gap IS NOT NULL)) AS gs FROM g GROUP BY ALL) SELECT doc_id, page, string_agg(CASE WHEN gap IS NULL THEN '' WHEN gap > coalesce(gs[(len(gs) - 1) // 2 + 1], 0) * 1.6::DOUBLE THEN chr(10) || chr(10) ELSE chr(10) END || text, '' ORDER BY y DESC) AS text FROM g JOIN m USING (doc_id, page) GROUP BY doc_id, page",
     "column_assign": f"WITH {_RUNS} SELECT {_COL} AS cell, count(*) AS n, sum(height) AS height FROM runs GROUP BY ALL",
     "table_cells": f"WITH {_RUNS}, r0 AS (SELECT *, coalesce(lag(y) OVER w - y > 2.5, true)::INTEGER AS new FROM runs WHERE y < 760 AND y > 55 WINDOW w AS (PARTITION BY doc_id, page ORDER BY y DESC, x, str)), r1 AS (SELECT *, {_COL} AS cell, sum(new) OVER (PARTITION BY doc_id, page ORDER BY y DESC, x, str ROWS UNBOUNDED PRECEDING)::BIGINT AS line_no FROM r0) SELECT doc_id, page, line_no, " + ", ".join(f"coalesce(string_agg(str, ' ' ORDER BY x, str) FILTER (cell = '{key}'), '') AS {key}" for key, _, _ in V.TABLE_COLUMNS) + " FROM r1 GROUP BY ALL",
-    "form_ranges": f"WITH {_FORMS} SELECT form_number, start_page, greatest(start_page, coalesce(lead(start_page) OVER (ORDER BY start_page, form_number) - 1, 249)) AS end_page FROM forms",
-    "form_confidence": f"WITH {_FORMS} SELECT form_number, confidence, reasons, confidence < 0.9 AS needs_review FROM (SELECT form_number, greatest(0, round(1::DOUBLE - CASE WHEN n_ocr > 0 THEN 0.3::DOUBLE ELSE 0 END - CASE WHEN see IS NULL THEN 0.2::DOUBLE ELSE 0 END - CASE WHEN length(title) < 8 THEN 0.3::DOUBLE ELSE 0 END - CASE WHEN length(title) > 120 THEN 0.1::DOUBLE ELSE 0 END, 2)) AS confidence, concat_ws(';', CASE WHEN n_ocr > 0 THEN 'title recovered by OCR' END, CASE WHEN see IS NULL THEN 'no \"See section\" reference found under the title' END, CASE WHEN length(title) < 8 THEN 'title looks too short' END, CASE WHEN length(title) > 120 THEN 'title looks too long, may have swallowed body text' END) AS reasons FROM forms)",
-    "form_search": f"WITH {_FORMS} SELECT 'a' AS query, form_number FROM forms WHERE contains(lower(title), 'a') UNION ALL SELECT '12', form_number FROM forms WHERE contains(lower(title), '12') OR form_number = 12 UNION ALL SELECT '  ', form_number FROM forms",
+    "form_ranges": f"WITH {_FORMS} SELECT manifest, form_number, start_page, greatest(start_page, coalesce(lead(start_page) OVER (PARTITION BY manifest ORDER BY start_page, form_number) - 1, 249)) AS end_page FROM forms",
+    "form_confidence": f"WITH {_FORMS} SELECT manifest, form_number, confidence, reasons, confidence < 0.9 AS needs_review FROM (SELECT manifest, form_number, greatest(0, round(1::DOUBLE - CASE WHEN n_ocr > 0 THEN 0.3::DOUBLE ELSE 0 END - CASE WHEN see IS NULL THEN 0.2::DOUBLE ELSE 0 END - CASE WHEN length(title) < 8 THEN 0.3::DOUBLE ELSE 0 END - CASE WHEN length(title) > 120 THEN 0.1::DOUBLE ELSE 0 END, 2)) AS confidence, concat_ws(';', CASE WHEN n_ocr > 0 THEN 'title recovered by OCR' END, CASE WHEN see IS NULL THEN 'no \"See section\" reference found under the title' END, CASE WHEN length(title) < 8 THEN 'title looks too short' END, CASE WHEN length(title) > 120 THEN 'title looks too long, may have swallowed body text' END) AS reasons FROM forms)",
+    "form_search": f"WITH {_FORMS} SELECT 'a' AS query, manifest, form_number FROM forms WHERE contains(lower(title), 'a') UNION ALL SELECT '12', manifest, form_number FROM forms WHERE contains(lower(title), '12') OR form_number = 12 UNION ALL SELECT '  ', manifest, form_number FROM forms",
 }
+#: The name that the query of all documents had while chunk_page_ranges left long ones out.
+SQL["chunk_page_ranges_whole"], chunk_page_ranges_whole = SQL["chunk_page_ranges"], chunk_page_ranges
 QUERIES = {name: globals()[name] for name in SQL}

@@ -203,19 +203,19 @@ def diversify_cap2(spark, d):
     return _out(R.diversify(ranked, "section"), "section")
 
 
-def _rerank(spark, d, ranked):
+def rerank_scores(spark, d, ranked, pool: int = V.RERANK_POOL, chars: int = V.RERANK_CHARS):
     """Scores of the local reranker: share of the question's terms that the document's first characters have."""
     q = I.tokens(table(spark, d, "benchmark"), "item_id", "text").select(F.col("id").alias("qid"), F.array_distinct("terms").alias("q"))
-    pool = ranked.where(F.col("rank") <= V.RERANK_POOL).select("qid", "id")
+    pool = ranked.where(F.col("rank") <= pool).select("qid", "id")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").join(pool.select("id").distinct(), "id", "left_semi")
-    docs = docs.select("id", F.array_distinct(X.tokenize(F.substring("text", 1, V.RERANK_CHARS))).alias("t"))
+    docs = docs.select("id", F.array_distinct(X.tokenize(F.substring("text", 1, chars))).alias("t"))
     rows = pool.join(docs, "id").join(q, "qid")
     return rows.select("qid", "id", F.round(F.size(F.array_intersect("q", "t")) / F.greatest(F.size("q"), F.lit(1)), 6).alias("rerank_score"))
 
 
 def rerank_pool_order(spark, d):
     ranked = written(R.hybrid(_dense(spark, d), _sparse(spark, d)), "ranked")
-    return _out(R.rerank_order(ranked, _rerank(spark, d, ranked)), "rerank_score")
+    return _out(R.rerank_order(ranked, rerank_scores(spark, d, ranked)), "rerank_score")
 
 
 def retrieve_topk(spark, d):
@@ -226,7 +226,7 @@ def retrieve_topk(spark, d):
     named = exact.select("qid").distinct()
     pinned = R.pin(merged.join(named, "qid", "left_semi"), exact)
     free = merged.join(named, "qid", "left_anti")
-    free = R.rerank_order(free, _rerank(spark, d, free)).drop("rerank_score", "fused_rank").withColumn("exact", F.lit(False))
+    free = R.rerank_order(free, rerank_scores(spark, d, free)).drop("rerank_score", "fused_rank").withColumn("exact", F.lit(False))
     both = pinned.unionByName(free, allowMissingColumns=True).join(_sources(spark, d), "id")
     return _out(R.diversify(both, "section"), "dense_score", "exact", "section")
 
@@ -247,18 +247,10 @@ def session_isolation(spark, d):
 
 
 def prompt_context(spark, d):
-    return _contexts(spark, d, F.substring("text", 1, 200))
-
-
-def prompt_context_whole(spark, d):
     """Contexts that hold the whole text of each passage, as the prompt does."""
-    return _contexts(spark, d, F.col("text"))
-
-
-def _contexts(spark, d, text):
     ranked = R.top(_sparse(spark, d), V.TOP_K).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text"), "id")
     marker = R.citation_marker(F.lit("document"), F.lit(None), F.lit(None), F.lit(None), F.concat("source", F.lit(".pdf")), F.lit("1"))
-    ranked = ranked.select("qid", "rank", F.concat(F.lit('uploaded document "'), "source", F.lit('.pdf", page 1 - cite as '), marker).alias("heading"), text.alias("text"))
+    ranked = ranked.select("qid", "rank", F.concat(F.lit('uploaded document "'), "source", F.lit('.pdf", page 1 - cite as '), marker).alias("heading"), "text")
     return R.prompt_context(ranked).select("qid", F.sha2(F.col("context").cast("binary"), 256).alias("context_sha256"))
 
 
@@ -350,7 +342,8 @@ SQL = {
     "refusal_gate": f"SELECT qid, statute_best, document_best, statute_best < 0.58 AND document_best < 0.38 AS refused FROM ({_REFUSE})",
     "top_score": f"SELECT qid, top_score FROM ({_REFUSE})",
     "session_isolation": f"WITH {BM25}, {_sparse_sql()} SELECT qid, doc_id, score FROM sparse JOIN documents USING (doc_id) WHERE source = 'src' || (qid % 20)",
-    "prompt_context": f"WITH {BM25}, {_sparse_sql()} SELECT qid, sha256(string_agg('[' || rank || '] uploaded document \"' || source || '.pdf\", page 1 - cite as [doc: ' || source || '.pdf p.1]' || chr(10) || substr(text, 1, 200), chr(10) || chr(10) ORDER BY rank)) AS context_sha256 FROM sparse JOIN documents USING (doc_id) WHERE rank <= 8 GROUP BY qid",
-    "prompt_context_whole": f"WITH {BM25}, {_sparse_sql()} SELECT qid, sha256(string_agg('[' || rank || '] uploaded document \"' || source || '.pdf\", page 1 - cite as [doc: ' || source || '.pdf p.1]' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS context_sha256 FROM sparse JOIN documents USING (doc_id) WHERE rank <= 8 GROUP BY qid",
+    "prompt_context": f"WITH {BM25}, {_sparse_sql()} SELECT qid, sha256(string_agg('[' || rank || '] uploaded document \"' || source || '.pdf\", page 1 - cite as [doc: ' || source || '.pdf p.1]' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS context_sha256 FROM sparse JOIN documents USING (doc_id) WHERE rank <= 8 GROUP BY qid",
 }
+#: The name that the query of whole passages had while prompt_context cut them.
+SQL["prompt_context_whole"], prompt_context_whole = SQL["prompt_context"], prompt_context
 QUERIES = {name: globals()[name] for name in SQL}

@@ -59,7 +59,7 @@ def test_page_ranges_of_long_pages(spark, tmp_path):
     texts = [prose(40, 1), prose(900, 2), None, prose(2500, 3, 0), "x" * 4000, "", prose(30, 4), prose(700, 5, 5)]
     rows = [(20 + i, t, None if i % 2 else len(t or "")) for i, t in enumerate(texts)]
     d = tables(spark, tmp_path, documents=spark.createDataFrame(rows, "doc_id long, text string, n_chars long"))
-    got = sorted(tuple(r[c] for c in ("chunk_index", "page_start", "page_end", "text_sha256")) for r in parsing.chunk_page_ranges_whole(spark, d).collect())
+    got = sorted(tuple(r[c] for c in ("chunk_index", "page_start", "page_end", "text_sha256")) for r in parsing.chunk_page_ranges(spark, d).collect())
     want = chunks([(i + 1, t) for i, t in enumerate(texts)])
     assert got == [(k, a, z, hashlib.sha256(t.encode()).hexdigest()) for k, (t, a, z) in enumerate(want)]
     assert {1, 2, 4, 5, 7, 8} <= {p for _, a, z, _ in got for p in range(a, z + 1)} and any(z > a for _, a, z, _ in got)
@@ -82,7 +82,7 @@ def test_contexts_hold_whole_passages(spark, tmp_path):
     text = "bail " + prose(300, 6)
     d = tables(spark, tmp_path, documents=spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string"), benchmark=spark.createDataFrame([(0, "bail")], "item_id long, text string"))
     want = f'[1] uploaded document "s.pdf", page 1 - cite as [doc: s.pdf p.1]\n{text}'
-    assert [r["context_sha256"] for r in search.prompt_context_whole(spark, d).collect()] == [hashlib.sha256(want.encode()).hexdigest()]
+    assert [r["context_sha256"] for r in search.prompt_context(spark, d).collect()] == [hashlib.sha256(want.encode()).hexdigest()]
 
 
 def title(text):
