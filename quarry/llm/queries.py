@@ -3,55 +3,51 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import bpe, exact_dedup, html_text, mixing, ngram_join, quality_rules, secrets, token_files, toxicity, weak_quality
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from quarry.sources.tables import table
 
 
 def op1_secret_scan(spark, sf_dir):
-    return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark, sf_dir):
-    documents = _table(spark, sf_dir, "documents")
-    return toxicity.toxic_passages(documents, toxicity.train(documents, _table(spark, sf_dir, "labels"))).drop("passages")
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.toxic_passages(documents, toxicity.train(documents, table(spark, sf_dir, "labels"))).drop("passages")
 
 
 def op3_ngram_jaccard_join(spark, sf_dir):
-    return ngram_join.ngram_classes(_table(spark, sf_dir, "documents")).drop("cls", "root")
+    return ngram_join.ngram_classes(table(spark, sf_dir, "documents")).drop("cls", "root")
 
 
 def op4_exact_dedup(spark, sf_dir):
-    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op5_source_mix(spark, sf_dir):
-    return mixing.mix_figures(_table(spark, sf_dir, "documents"))
+    return mixing.mix_figures(table(spark, sf_dir, "documents"))
 
 
 def op6_quality_rules(spark, sf_dir):
-    return quality_rules.quality_figures(_table(spark, sf_dir, "documents")).drop("longest_repeat")
+    return quality_rules.quality_figures(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op7_token_files(spark, sf_dir):
-    return token_files.token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
 def op8_html_text(spark, sf_dir):
-    return html_text.extract_pages(_table(spark, sf_dir, "pages"))
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
 def op9_weak_quality(spark, sf_dir):
-    documents = _table(spark, sf_dir, "documents")
+    documents = table(spark, sf_dir, "documents")
     return weak_quality.quality_scores(documents, weak_quality.train(documents))
 
 
 def op10_byte_bpe(spark, sf_dir):
-    return bpe.bpe_encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_ngram_jaccard_join, op4_exact_dedup, op5_source_mix, op6_quality_rules, op7_token_files, op8_html_text, op9_weak_quality, op10_byte_bpe)}
