@@ -262,15 +262,19 @@ def _terms(text: str) -> str:
     return f"list_filter(regexp_extract_all(lower(coalesce({text}, '')), '[a-z0-9]+'), lambda t: (length(t) >= 2 OR regexp_matches(t, '[0-9]')) AND NOT list_contains([{_STOP}], t))"
 
 
-BM25 = f"""tok AS (SELECT doc_id, {_terms('text')} AS terms FROM documents),
+def bm25_sql(questions: str, qid: str, text: str) -> str:
+    return f"""tok AS (SELECT doc_id, {_terms('text')} AS terms FROM documents),
 stats AS (SELECT count(*) AS n_docs, avg(len(terms)) AS avg_length FROM tok),
 freq AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(terms)) AS term FROM tok) GROUP BY term),
-qtok AS (SELECT DISTINCT item_id AS qid, unnest({_terms('text')}) AS term FROM benchmark),
+qtok AS (SELECT DISTINCT {qid} AS qid, unnest({_terms(text)}) AS term FROM {questions}),
 qterm AS (SELECT qid, q.term, ln(1 + (n_docs - coalesce(df, 0) + 0.5::DOUBLE) / (coalesce(df, 0) + 0.5::DOUBLE)) AS idf FROM qtok q LEFT JOIN freq USING (term), stats),
 tf AS (SELECT doc_id, len(terms) AS length, term, count(*) AS tf FROM (SELECT doc_id, terms, unnest(terms) AS term FROM tok) GROUP BY ALL),
 post AS (SELECT doc_id, term, tf, tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / avg_length)) AS weight FROM tf, stats)"""
 
 
+BM25 = bm25_sql("benchmark", "item_id", "text")
+
+
 def _sparse_sql(name: str = "sparse", where: str = "true") -> str:
     return f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (SELECT qid, doc_id, round(sum(weight * idf), 6) AS score FROM post JOIN qterm USING (term) JOIN documents USING (doc_id) WHERE {where} GROUP BY ALL)) WHERE rank <= 40)"
 

@@ -16,7 +16,7 @@ from quarry.operators import records as R
 from quarry.operators import retrieval as S
 from quarry.operators import sections as E
 from quarry.operators import sinks
-from quarry.plans import language, parsing
+from quarry.plans import language, parsing, search
 from quarry.sources import files
 from quarry.sources.tables import table
 
@@ -88,7 +88,7 @@ def section_gate(spark, d):
 
 
 def schedule_entries(spark, d):
-    """Rows-only: table lines folded to entries of the schedule."""
+    """Table lines folded to entries of the schedule."""
     from quarry.operators import layout as L
 
     return E.entries(L.table_cells(parsing._runs(spark, d)).withColumn("section", F.when(F.expr("line_no % 3 = 1"), F.concat(F.col("page") + 1, F.lit("(1)"))).otherwise(F.lit(""))))
@@ -125,7 +125,27 @@ def answer_pipeline(spark, d):
 
 
 # ---- the same in SQL ------------------------------------------------------------------------------------------
+_KEYS = [k for k, _, label in V.TABLE_COLUMNS if label]
+_cell = lambda k: f"coalesce(trim(regexp_replace(regexp_replace(string_agg({k}, ' ' ORDER BY page, line_no) FILTER ({k} <> ''), '\\s+', ' ', 'g'), '\\s+([.,;])', '\\1', 'g')), '')"
+_ENTRIES = f"""WITH c AS (SELECT *, CASE WHEN line_no % 3 = 1 THEN (page + 1) || '(1)' ELSE '' END AS bare FROM ({parsing.SQL["table_cells"]})),
+l0 AS (SELECT * EXCLUDE (bare), bare, bare || CASE WHEN len(regexp_extract_all(bare, '\\(')) - len(regexp_extract_all(bare, '\\)')) = 1 AND starts_with(offence, ')') THEN ')' ELSE '' END AS label FROM c),
+l1 AS (SELECT * REPLACE (CASE WHEN label <> bare THEN trim(substr(offence, 2)) ELSE offence END AS offence), regexp_matches(label, '^\\d{{1,3}}[A-Z]?(\\([0-9a-z]{{1,2}}\\))*$') AS opens FROM l0),
+l2 AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY doc_id ORDER BY page, line_no)::BIGINT AS entry FROM l1),
+l3 AS (SELECT *, row_number() OVER w AS i, last_value(nullif(offence, '') IGNORE NULLS) OVER (PARTITION BY doc_id, entry ORDER BY page, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_ FROM l2 WHERE entry > 0 AND concat({", ".join(_KEYS)}) <> '' WINDOW w AS (PARTITION BY doc_id, entry ORDER BY page, line_no)),
+l4 AS (SELECT *, sum((opens OR i = 1 OR label <> '' OR (offence <> '' AND coalesce(regexp_matches(before_, '[.;]$'), false)))::INTEGER) OVER (PARTITION BY doc_id, entry ORDER BY page, line_no)::BIGINT AS row_ FROM l3)
+SELECT doc_id, entry, row_ AS "row", max(label) FILTER (opens) AS label, {", ".join(f"{_cell(k)} AS {k}" for k in _KEYS)} FROM l4 GROUP BY ALL"""
+#: Answers of the echo model: the first line of the context, which is the best passage's number and heading.
+_ANSWERS = f"""WITH {language._QS}, {search.bm25_sql("qs", "qid", "q")},
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (SELECT qid, doc_id, round(sum(weight * idf), 6) AS score FROM post JOIN qterm USING (term) GROUP BY ALL)) WHERE rank <= {V.TOP_K}),
+cut AS (SELECT doc_id, unnest({language._CUT("text")}) AS s, unnest(range(len({language._CUT("text")}))) AS i FROM documents SEMI JOIN hits USING (doc_id)),
+clean AS (SELECT doc_id, coalesce(string_agg(s, ' ' ORDER BY i) FILTER (({language._BAD("s")}) IS NULL), '') AS text FROM cut GROUP BY doc_id),
+context AS (SELECT qid, max(score) AS best, string_agg('[' || rank || '] passage ' || doc_id || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM hits JOIN clean USING (doc_id) GROUP BY qid),
+exits AS (SELECT qid, q, context, string_split(context, chr(10))[1] AS told, CASE WHEN kind IS NOT NULL THEN 'smalltalk' WHEN rule IS NOT NULL THEN 'blocked' WHEN coalesce(best, 0) < 4 THEN 'refused' ELSE 'answered' END AS exit FROM qs JOIN ({language.SQL["small_talk"]}) USING (qid) JOIN ({language.SQL["injection_scan"]}) USING (qid) LEFT JOIN context USING (qid))
+SELECT qid, exit, CASE WHEN exit = 'answered' THEN told END AS answer, CASE WHEN exit = 'answered' THEN round((ceil(length(q || context) / 4) * {V.INPUT_RATE}::DOUBLE + ceil(length(told) / 4) * {V.OUTPUT_RATE}::DOUBLE) / 1000000, 6) ELSE 0 END AS cost_usd FROM exits"""
+
 SQL = {
+    "schedule_entries": _ENTRIES,
+    "answer_pipeline": _ANSWERS,
     "ip_keys": "SELECT DISTINCT user_id, CASE WHEN user_id % 3 = 0 THEN '10.0.0.' || user_id WHEN user_id % 3 = 1 THEN '10.1.0.' || user_id WHEN user_id * 4 < 256 THEN '2001:db8::/56' ELSE '2001:db8:0:' || lower(to_hex((user_id * 4) // 256 * 256)) || '::/56' END AS key FROM events",
     "request_validation": "SELECT conv_id, turn, length(text) BETWEEN 1 AND 4000 AND turn * 7 BETWEEN 1 AND 50 AND 8 + turn * 20 BETWEEN 8 AND 64 AS ok FROM conversations",
     "ttl_alive": f"SELECT event_id FROM events WHERE ts > TIMESTAMP '{NOW}' - INTERVAL 10 DAY",
@@ -138,4 +158,4 @@ n AS (SELECT *, try_cast(nullif(regexp_extract(text, '^(\\d{1,3})\\.\\s*(?:\\(1\
 w AS (SELECT doc_id, line_no, n = 1 AS ok, CASE WHEN n = 1 THEN 1 ELSE 0 END AS so_far FROM n WHERE line_no = 0 UNION ALL SELECT n.doc_id, n.line_no, n.n = w.so_far + 1, CASE WHEN n.n = w.so_far + 1 THEN n.n ELSE w.so_far END FROM w JOIN n ON n.doc_id = w.doc_id AND n.line_no = w.line_no + 1)
 SELECT doc_id, line_no, nullif(so_far, 0) AS number, coalesce(ok, false) AS starts, last_value(c IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS chapter FROM w JOIN n USING (doc_id, line_no)""",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "schedule_entries", "answer_pipeline"]}
+QUERIES = {name: globals()[name] for name in SQL}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import values as V
 from quarry.operators import edges as E
+from quarry.operators import sections
 from quarry.plans import edges, records
 
 DATA = "/root/testdata/sf0.001"
@@ -83,3 +84,22 @@ def test_guard_words_are_in_every_match():
     for text, (name, _, pattern) in zip(phrases, rules, strict=True):
         assert re.search(pattern, text, re.I), (name, text)
         assert any(w in text.lower() for w in V.TRIGGERS[pattern]), (name, text)
+
+
+def test_rows_of_a_schedule(spark):
+    """Brackets come back to their label, wrapped lines join, and an offence that has ended opens a row."""
+    lines = [
+        ("", "before the first entry", "x", ""),
+        ("49", "Abetment of any offence, if", "Same as for", "Cognizable"),
+        ("", "no express provision is made .", "offence abetted .", ""),
+        ("", "Another offence;", "Fine", ""),
+        ("", "", "or both", ""),
+        ("50(1", ") Theft", "Two  years", ""),
+        ("", "", "", ""),
+    ]
+    rows = [(1, i // 4, i, *line) for i, line in enumerate(lines)]
+    cells = spark.createDataFrame(rows, "doc_id int, page int, line_no int, section string, offence string, punishment string, cognizable string")
+    for key, _, _ in V.TABLE_COLUMNS[4:]:
+        cells = cells.withColumn(key, F.lit(""))
+    got = sorted((r["entry"], r["row"], r["label"], r["offence"], r["punishment"]) for r in sections.entries(cells).collect())
+    assert got == [(1, 1, "49", "Abetment of any offence, if no express provision is made.", "Same as for offence abetted."), (1, 2, None, "Another offence;", "Fine or both"), (2, 1, "50(1)", "Theft", "Two years")]
