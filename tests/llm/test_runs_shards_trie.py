@@ -201,6 +201,7 @@ def test_odd_conversations(spark, monkeypatch):
     """Turnless conversations, equal turns, repeated rows, many turns out of order, hot parents, clashing names, no rows."""
     monkeypatch.setattr(T, "HOT", 3)
     rows = [(101, 0, "user", "x")] * 3 + [(200, None, None, None), (205, 5, "b", "2"), (205, 5, "a", "1")] + [(300, t, "user", str(t % 5)) for t in range(600, 0, -1)] + [(c, 0, "user", f"only {c % 13}") for c in range(1000, 1060)]
+    rows += [(c, 0, "user", "own") for c in range(3001, 3009)]
     rows += [(c, t, "user", "hello" if t < 8 else f"t{c}") for c in range(2000, 2040) for t in range(9)]
     docs = spark.createDataFrame(rows, TURNS)
     for name in ("conv", "key", "i", "k", "d", "up", "part", "band", "own", "n", "base", "h", "chars", "hot_", "salt_"):
