@@ -33,13 +33,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_leg(query_vectors: DataFrame, vectors: DataFrame, k: int = V.POOL) -> DataFrame:
-    """(qid, id, score, rank). query_vectors: qid, q; vectors: id, v. A stated set of queries goes to every block of
-    vectors; each task keeps its best before they meet."""
-    score = vectors.crossJoin(query_vectors).select("qid", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
-    return top(score, k)
-
-
 def fuse(*legs: DataFrame, k: int = V.RRF_K) -> DataFrame:
     """(qid, id, score, first): reciprocal rank fusion; first orders ties as the legs met them."""
     parts = [leg.select("qid", "id", "rank", F.lit(i).alias("leg"), F.col("score").alias("leg_score")) for i, leg in enumerate(legs)]

@@ -135,11 +135,8 @@ def _golden(spark, d):
 
 def _legs(spark, d):
     held, terms = _golden(spark, d)
-    t = written(I.tokens(table(spark, d, "documents"), "doc_id", "text"), "tokens")
-    stats = I.corpus_stats(t)
-    tf = written(I.term_frequency(t, terms.select("term").distinct()), "frequencies")
-    q = terms.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term", "left").crossJoin(F.broadcast(stats)).select("qid", "term", I.idf(F.col("n_docs"), F.col("df")).alias("idf"))
-    return written(held, "held"), search._dense(spark, d), written(S.sparse_leg(q, I.weighted(tf, stats)), "sparse")
+    sparse = S.top(search.stored_index(spark, d).scores(terms), V.POOL)
+    return written(held, "held"), search._dense(spark, d), written(sparse, "sparse")
 
 
 def eval_hit_recall_mrr(spark, d):

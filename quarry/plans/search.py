@@ -12,24 +12,50 @@ from pyspark.sql import functions as F
 from quarry.functions import text as X
 from quarry.functions import values as V
 from quarry.operators import index as I
+from quarry.operators import lists as L
 from quarry.operators import retrieval as R
-from quarry.sources.tables import table, written
+from quarry.operators.stored import StoredIndex
+from quarry.sources.tables import fingerprint, shared_folder, table, written
 
 
 def _tokens(spark, d) -> DataFrame:
     return I.tokens(table(spark, d, "documents"), "doc_id", "text")
 
 
-def _bm25(spark, d):
-    """Statistics, document frequencies, postings and query terms, of the terms that a query has: the others' postings
-    are not built. Texts are tokenised once, and term frequencies counted once, to tables that the others read; each
-    document has one row of a term, so that counting rows gives document frequencies."""
-    t = written(_tokens(spark, d), "tokens")
-    stats = I.corpus_stats(t)
-    own = table(spark, d, "benchmark").select(F.explode(F.array_distinct(X.tokenize(F.col("text")))).alias("term")).distinct()
-    tf = written(I.term_frequency(t, own), "frequencies")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    return stats, df, I.weighted(tf, stats), I.query_terms(table(spark, d, "benchmark"), "item_id", "text", stats, df)
+def _kept(spark, d, kind: str, names: tuple[str, ...], build):
+    """What `build` makes from tables of the folder: made when a session first asks for it, and found again for as long as
+    the tables' files are the same."""
+    kept = spark.__dict__.setdefault("_quarry_kept", {})
+    key = (kind, fingerprint(spark, d, *names))
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]
+
+
+def stored_index(spark, d) -> StoredIndex:
+    """The index of the documents, in a folder that all executors share."""
+
+    def build():
+        index = StoredIndex(spark, shared_folder(spark, "index"))
+        index.add(_tokens(spark, d), "documents")
+        return index
+
+    return _kept(spark, d, "postings", ("documents",), build)
+
+
+def vector_lists(spark, d) -> L.VectorLists:
+    """The embeddings in lists, with the numbers and sources of the documents that have theirs, for filters."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return _kept(spark, d, "vectors", ("documents", "embeddings"), lambda: L.VectorLists(_vectors(spark, d).join(docs, F.col("id") == F.col("doc_id"), "left")))
+
+
+def question_terms(questions: DataFrame, qid: str, text: str) -> DataFrame:
+    """(qid, term): the different terms of each question."""
+    return questions.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(X.tokenize(F.col(text)))).alias("term"))
+
+
+def _terms_asked(spark, d) -> DataFrame:
+    return question_terms(table(spark, d, "benchmark"), "item_id", "text")
 
 
 def tokenize_counts(spark, d):
@@ -74,7 +100,8 @@ def bm25_idf(spark, d):
 
 
 def bm25_doc_weights(spark, d):
-    _, _, postings, _ = _bm25(spark, d)
+    t = _tokens(spark, d)
+    postings = I.postings(t, I.corpus_stats(t), _terms_asked(spark, d).select("term").distinct())
     return postings.select(F.col("id").alias("doc_id"), "term", "tf", F.round("weight", 6).alias("weight"))
 
 
@@ -85,8 +112,13 @@ def bm25_doc_weights_whole(spark, d):
 
 
 def bm25_topk_per_query(spark, d):
-    _, _, postings, q = _bm25(spark, d)
-    return R.sparse_leg(q, postings).select("qid", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+    return R.top(_scores(spark, d), V.POOL).select("qid", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+def bm25_topk_pruned(spark, d):
+    """The same rows, from the blocks of postings that can matter."""
+    rows = stored_index(spark, d).topk(_terms_asked(spark, d), V.POOL)
+    return rows.select("qid", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 def stats_merge(spark, d):
@@ -100,12 +132,13 @@ def _vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
 
 
-def _dense(spark, d, keep=None, k=V.POOL):
+def _item_vectors(spark, d) -> DataFrame:
+    return _vectors(spark, d).join(table(spark, d, "benchmark").select("item_id"), F.col("id") == F.col("item_id")).select(F.col("id").alias("qid"), F.col("v").alias("q"))
+
+
+def _dense(spark, d, keep="true", k=V.POOL):
     """Items' vectors against those of documents."""
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    v = _vectors(spark, d).join(docs, F.col("id") == F.col("doc_id"))
-    q = _vectors(spark, d).join(table(spark, d, "benchmark").select("item_id"), F.col("id") == F.col("item_id")).select(F.col("id").alias("qid"), F.col("v").alias("q"))
-    return R.dense_leg(q, v.where(keep) if keep is not None else v, k)
+    return vector_lists(spark, d).search(_item_vectors(spark, d), k, F.expr(f"doc_id IS NOT NULL AND ({keep})"))
 
 
 def _out(rows, *more):
@@ -113,9 +146,14 @@ def _out(rows, *more):
 
 
 def dense_topk_cosine(spark, d):
-    v = _vectors(spark, d)
-    q = v.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
-    return R.dense_leg(q, v, 10).select("qid", F.col("id").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
+    q = _vectors(spark, d).where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    return vector_lists(spark, d).search(q, 10).select("qid", F.col("id").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+def dense_topk_lists(spark, d):
+    """All items against all vectors, approximately: from the nearest lists."""
+    rows = vector_lists(spark, d).search(_item_vectors(spark, d), V.POOL, exact=False)
+    return rows.select("qid", F.col("id").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 def dense_topk_filtered(spark, d):
@@ -126,8 +164,7 @@ def dense_topk_filtered(spark, d):
 
 
 def _scores(spark, d):
-    _, _, postings, q = _bm25(spark, d)
-    return R.sparse_scores(q, postings)
+    return stored_index(spark, d).scores(_terms_asked(spark, d))
 
 
 def _sparse(spark, d, keep=None):
@@ -329,6 +366,7 @@ SQL = {
     "bm25_doc_weights": f"WITH {BM25} SELECT doc_id, term, tf, round(weight, 6) AS weight FROM post SEMI JOIN qterm USING (term)",
     "bm25_doc_weights_whole": f"WITH {BM25} SELECT doc_id, term, tf, round(weight, 6) AS weight FROM post",
     "bm25_topk_per_query": f"WITH {BM25}, {_sparse_sql()} SELECT qid, doc_id, score, rank FROM sparse",
+    "bm25_topk_pruned": f"WITH {BM25}, {_sparse_sql()} SELECT qid, doc_id, score, rank FROM sparse",
     "stats_merge": f"WITH {BM25} SELECT term, df, n_docs, round(avg_length, 6) AS avg_length FROM freq, stats",
     "dense_topk_cosine": _VEC.format(on="true"),
     "dense_topk_filtered": _VEC.format(on="q.label = v.label"),
@@ -350,4 +388,5 @@ SQL = {
 }
 #: The name that the query of whole passages had while prompt_context cut them.
 SQL["prompt_context_whole"], prompt_context_whole = SQL["prompt_context"], prompt_context
-QUERIES = {name: globals()[name] for name in SQL}
+#: Approximate, and so without SQL: its recall is measured against the exact search.
+QUERIES = {name: globals()[name] for name in (*SQL, "dense_topk_lists")}

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from quarry.functions import text as X
 from quarry.functions import values as V
 from quarry.operators import citations as C
-from quarry.operators import index as I
 from quarry.operators import records as R
 from quarry.operators import retrieval as S
 from quarry.operators import sections as E
@@ -117,10 +116,7 @@ def answers(questions: DataFrame, hits: DataFrame, texts: DataFrame, model: str
 def answer_pipeline(spark, d):
     """Inline questions and user turns, answered from the documents by the sparse leg."""
     questions = language._questions(spark, d)
-    t = I.tokens(table(spark, d, "documents"), "doc_id", "text")
-    stats, df = I.corpus_stats(t), I.document_frequency(t)
-    terms = I.query_terms(questions, "qid", "q", stats, df)
-    hits = S.sparse_leg(terms, I.postings(t, stats, terms.select("term").distinct()), V.TOP_K)
+    hits = S.top(search.stored_index(spark, d).scores(search.question_terms(questions, "qid", "q")), V.TOP_K)
     return answers(questions, hits, table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -37,6 +38,18 @@ def shared_folder(spark: SparkSession, name: str = "quarry") -> str:
     return f"{base.rstrip('/')}/{name}/{uuid.uuid4().hex}"
 
 
+def fingerprint(spark: SparkSession, folder: str, *names: str) -> str:
+    """Tells the files of tables from any others that the folder held or will hold: names, lengths and times."""
+    jvm, seen = spark._jvm, hashlib.sha256()
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            seen.update(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}\n".encode())
+    return seen.hexdigest()
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """df as a table in the shared folder: computed once, and read again by whatever needs it."""
     path = f"{shared_folder(df.sparkSession)}/{name}"
