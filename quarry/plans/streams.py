@@ -59,12 +59,12 @@ def fold_frames(spark, d):
 # ---- the same in SQL ------------------------------------------------------------------------------------------
 _FRAMES = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role, sha256(text) AS text_sha256 FROM conversations"
 SQL = {
-    "stream_jobs": f"""WITH e AS (SELECT user_id, event_id, epoch_ms(ts) AS at_ms, {_stage()} AS stage, round(least(1, abs(value) / 200), 2) AS share FROM events),
+    "stream_jobs": f"""WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS at_ms, {_stage()} AS stage, round(least(1, abs(value) / 200), 2) AS share FROM events),
 g AS (SELECT *, count(*) FILTER (stage = 'ready') OVER (PARTITION BY user_id ORDER BY at_ms, event_id) - (stage = 'ready')::INTEGER AS job, lead(at_ms) OVER (PARTITION BY user_id ORDER BY at_ms, event_id) AS next_at FROM e),
 n AS (SELECT *, count(*) FILTER (stage = 'failed') OVER (PARTITION BY user_id, job ORDER BY at_ms, event_id) AS nf FROM g)
 SELECT user_id, at_ms, event_id, stage AS status, CASE stage WHEN 'failed' THEN 0 WHEN 'ready' THEN 1 ELSE share END::DOUBLE AS progress, CASE WHEN stage = 'failed' AND nf % 2 = 0 THEN 2 ELSE nf % 2 END AS failures FROM n
 UNION ALL SELECT user_id, at_ms + {S.RETRY_MS}, NULL, 'queued', 0, 1 FROM n WHERE stage = 'failed' AND nf % 2 = 1 AND at_ms + {S.RETRY_MS} <= coalesce(next_at, (SELECT max(at_ms) FROM e))""",
-    "stream_records": f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS at_ms, CASE event_type WHEN 'signup' THEN 'put' WHEN 'view' THEN 'rename' WHEN 'error' THEN 'delete' ELSE 'push' END AS op, event_id::VARCHAR AS value, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS i FROM events),
+    "stream_records": f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS at_ms, CASE event_type WHEN 'signup' THEN 'put' WHEN 'view' THEN 'rename' WHEN 'error' THEN 'delete' ELSE 'push' END AS op, event_id::VARCHAR AS value, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
 s AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, false AS found, NULL::VARCHAR AS title, NULL::BIGINT AS until_, []::VARCHAR[] AS held FROM events
 UNION ALL SELECT user_id, i, event_id, found, CASE op WHEN 'put' THEN value WHEN 'delete' THEN NULL WHEN 'rename' THEN CASE WHEN found THEN value END ELSE CASE WHEN found THEN title END END, CASE WHEN op = 'put' OR (op <> 'delete' AND found) THEN at_ms + {int(DAYS * S.DAY_MS)} END, CASE WHEN op IN ('put', 'delete') OR NOT found THEN [] WHEN op = 'push' THEN list_append(held, value)[-{HELD}:] ELSE held END
 FROM (SELECT e.*, s.title, s.held, coalesce(e.at_ms < s.until_, false) AS found FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1))
