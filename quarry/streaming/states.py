@@ -90,7 +90,7 @@ def jobs(log: DataFrame, key: str, at: str, seq: str, stage: str, share: str) ->
     """(key, at in milliseconds, seq, status, progress, failures): a row for each stage event of a job, and one with no seq
     for each time that it is queued again."""
     rows = log.withColumn("_time", F.col(at).cast("timestamp")).withWatermark("_time", "0 seconds")
-    rows = rows.select(F.col(key).alias("key"), F.unix_millis("_time").alias("at"), F.col(seq).alias("seq"), F.col(stage).alias("stage"), F.round(share, 2).alias("share"), "_time")
+    rows = rows.select(F.col(key).alias("key"), F.unix_millis("_time").alias("at"), F.col(seq).alias("seq"), F.col(stage).alias("stage"), (F.floor(F.col(share) * 100 + 0.5) / 100).alias("share"), "_time")
     kinds = dict(rows.dtypes)
     return rows.groupBy("key").transformWithState(Jobs(), f"key {kinds['key']}, at long, seq {kinds['seq']}, status string, progress double, failures long", "Append", "EventTime")
 
