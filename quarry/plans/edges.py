@@ -13,9 +13,6 @@ from quarry.plans import language, parsing, records, search
 from quarry.sources.tables import table, written
 
 ALLOWED = ["http://example.com/", "http://site1.example", "https://site2.example/"]
-FORM_LINES = [
-    "FORM No. 12", "BOND AND BAIL-BOND FOR", "", "ATTENDANCE  BEFORE COURT", "[See section 91]", "I, name of place", "Form No 13 continued", "SUMMONS", "(see sections 63 and 64(1))", "FORM No. 14", "one", "two", "three", "four", "[See section 1]", "FORM no.15",
-]
 
 
 def payload_scroll(spark, d):
@@ -82,7 +79,7 @@ def readiness(spark, d):
 
 
 def citation_cards(spark, d):
-    answers, contexts = language._answers(spark)
+    answers, contexts = language._answers(spark, d)
     return E.cards(C.bind(C.markers(answers), contexts), contexts)
 
 
@@ -92,7 +89,7 @@ def citation_labels(spark, d):
 
 def ui_markers(spark, d):
     """Validated answers in parts, each marker with its card's number."""
-    answers, contexts = language._answers(spark)
+    answers, contexts = language._answers(spark, d)
     rows = C.validate(answers, contexts).select("aid", F.posexplode(E.ui_parts(F.col("text"))).alias("pos", "p")).select("aid", F.col("pos").cast("long").alias("pos"), "p.part", "p.is_marker")
     numbers = citation_cards(spark, d).select("aid", F.col("marker").alias("part"), "number")
     return rows.join(numbers, ["aid", "part"], "left").select("aid", "pos", "part", "is_marker", F.col("number").cast("long").alias("number"))
@@ -118,9 +115,14 @@ def manifest_header(spark, d):
     return forms.groupBy("manifest").agg(F.count("*").alias("form_count"), F.sha2(own.cast("binary"), 256).alias("sha256"))
 
 
+#: Lines of documents as pages of forms: headers, blank lines and references among them.
+_FORM_LINE = "CASE WHEN line_no % 9 = 0 THEN 'FORM No. ' || (line_no % 300 + doc_id % 7) WHEN line_no % 9 = 2 AND doc_id % 2 = 0 THEN '  ' WHEN line_no % 9 = 1 + doc_id % 7 AND line_no % 4 < 3 THEN '[See section ' || (doc_id % 90 + 1) || ' and 64(1)]' ELSE t END"
+
+
 def form_titles(spark, d):
-    rows = spark.createDataFrame([(i % 2, i, t) for i, t in enumerate(FORM_LINES * 2)], "doc_id int, line_no int, text string")
-    return E.form_titles(rows.where("doc_id = 0 AND line_no < 16 OR doc_id = 1").unionByName(rows.where("line_no < 16").withColumn("doc_id", F.lit(2))))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "t"))
+    found = E.form_titles(rows.select("doc_id", "line_no", F.expr(_FORM_LINE).alias("text")))
+    return found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("form_number").cast("long").alias("form_number"), "title", "see")
 
 
 def margin_notes(spark, d):
@@ -187,6 +189,11 @@ _CARDS = f"""{language._BOUND}, firsts AS (SELECT aid, text AS marker, arg_min(c
 cards AS (SELECT f.aid, row_number() OVER (PARTITION BY f.aid ORDER BY f.pos) AS number, marker, coalesce(nullif(source, ''), 'statute') AS source, nullif(act_short, '') AS act_short, nullif(section_number, '') AS section_number, nullif(document_name, '') AS document_name, coalesce(CASE WHEN subs <> '' AND contains(marker, subs) THEN subs END, nullif(subsection, '')) AS subsection, page_start, page_end, coalesce(c.text, '') AS text FROM firsts f JOIN ctx c USING (aid, idx))"""
 _SEE = "CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN p_size || '(' || (p_partkey % 3) || ')' WHEN 2 THEN p_size || ', ' || (p_size + 1) || ' and ' || (p_size + 2) || '(1)(a)' ELSE p_size || ' and  ' || (p_size + 9) END"
 _split = lambda c: f"list_filter(list_transform(regexp_split_to_array(coalesce({c}, ''), '[,\\s]+and\\s+|,\\s*'), lambda s: trim(s)), lambda s: s <> '')"
+_FORM_TITLES = f"""WITH l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents),
+l AS (SELECT doc_id, line_no, {language._trim(_FORM_LINE)} AS t FROM l0), w AS (SELECT *, list(t) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING) AS below FROM l),
+f AS (SELECT doc_id, line_no, regexp_extract(t, {_q(V.FORM_HEADER)}, 1)::BIGINT AS form_number, list_filter(below, lambda x: x <> '') AS b FROM w WHERE regexp_matches(t, {_q(V.FORM_HEADER)})),
+s AS (SELECT *, coalesce(list_position(list_transform(b, lambda x: regexp_matches(x, {_q(V.SEE_REFERENCE)})), true), 0) AS at_ FROM f)
+SELECT doc_id, line_no, form_number, {language._trim(f"regexp_replace(coalesce(array_to_string(b[1:CASE WHEN at_ BETWEEN 1 AND 4 THEN at_ - 1 ELSE 3 END], ' '), ''), '{language._SP}+', ' ', 'g')")} AS title, CASE WHEN at_ BETWEEN 1 AND 4 THEN regexp_extract(b[at_], {_q(V.SEE_REFERENCE)}, 1) END AS see FROM s"""
 _TITLED = language._TITLE.replace("list_zip(w, range(len(w)))", "list_zip(w, range(len(w)))")
 
 SQL = {
@@ -206,9 +213,10 @@ SQL = {
     "see_sections": f"SELECT p_partkey, array_to_string(s, '|') AS sections, nullif(regexp_replace(s[1], '\\(.*', ''), '') AS first FROM (SELECT p_partkey, {_split(_SEE)} AS s FROM part)",
     "form_chunks": f"WITH {parsing._FORMS}, f AS (SELECT *, list_filter(regexp_split_to_array(lower(title), '\\s+'), lambda x: x <> '') AS w, {_split('see')} AS s FROM forms) SELECT manifest, 'bnss-form-' || CASE WHEN length(form_number::VARCHAR) >= 3 THEN form_number::VARCHAR ELSE lpad(form_number::VARCHAR, 3, '0') END AS chunk_id, nullif(regexp_replace(s[1], '\\(.*', ''), '') AS section_number, sha256('The Second Schedule to the BNSS prescribes Form No. ' || form_number || ', ' || {_TITLED} || CASE WHEN len(s) > 0 THEN ' under section ' || array_to_string(s, ' and ') || ' of the BNSS' ELSE '' END || '.') AS text_sha256, array_to_string(list_transform(s, lambda x: regexp_replace(x, '\\(.*', '')), '|') AS refs FROM f",
     "manifest_header": f"WITH {parsing._FORMS} SELECT manifest, count(*) AS form_count, sha256(string_agg(form_number || ':' || title, chr(10) ORDER BY form_number)) AS sha256 FROM forms GROUP BY manifest",
+    "form_titles": _FORM_TITLES,
     "margin_notes": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS page FROM documents), b AS (SELECT doc_id, page, t || CASE WHEN page % 3 = 0 THEN '. 45 of 1860. The Code. ' ELSE '' END AS text FROM l WHERE t <> ''), p AS (SELECT doc_id, page, string_split(regexp_replace(text, '(\\.)\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ps FROM b), f AS (SELECT doc_id, page, trim(unnest(ps)) AS x, unnest(range(len(ps))) AS i FROM p) SELECT doc_id, page, count(*) AS n, sha256(string_agg(x, chr(10) ORDER BY i)) AS notes_sha256 FROM f WHERE x <> '' AND NOT regexp_matches(x, '^\\d+\\s+of\\s+\\d{4}\\b') GROUP BY ALL",
     "table_region": "WITH r AS (SELECT l_orderkey // 500 AS doc_id, (l_orderkey // 50 % 10)::INTEGER AS page, l_orderkey % 50 AS line_no, l_linenumber * 60 AS x, CASE WHEN l_orderkey % 5 = 1 THEN (1 + l_linenumber % 6)::VARCHAR WHEN l_orderkey % 31 = 7 AND l_linenumber = 1 THEN 'II. - Other acts' ELSE 'r' || l_linenumber END AS str FROM lineitem), l AS (SELECT doc_id, page, line_no, count(*) AS n, count(*) >= 4 AND bool_and(regexp_matches(str, '^[1-6]$')) AS numbers, regexp_matches(string_agg(str, ' ' ORDER BY x, str), '^II\\.\\s*[—–-]') AS two FROM r GROUP BY ALL), e AS (SELECT *, min(line_no) FILTER (two) OVER (PARTITION BY doc_id, page) AS stop FROM l), s AS (SELECT *, max(line_no) FILTER (numbers) OVER (PARTITION BY doc_id, page) AS start FROM e WHERE stop IS NULL OR line_no < stop) SELECT doc_id, page, line_no, n FROM s WHERE line_no > coalesce(start, -1)",
 }
 #: Folds and ordered state: tests/test_edges.py compares with brute force in Python.
-NO_SQL = ("form_titles", "split_runs", "concurrency_cap", "sql_functions", "sweep_configs")
+NO_SQL = ("split_runs", "concurrency_cap", "sql_functions", "sweep_configs")
 QUERIES = {name: globals()[name] for name in (*SQL, *NO_SQL)}

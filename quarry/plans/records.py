@@ -160,8 +160,9 @@ def citation_accuracy(spark, d):
     from quarry.operators import citations as C
     from quarry.plans.language import _answers
 
-    answers, contexts = _answers(spark)
-    expected = spark.createDataFrame([(1, ["35"]), (2, ["63"]), (3, ["1"]), (6, ["36", "35"])], "aid int, expected array<string>")
+    answers, contexts = _answers(spark, d)
+    # two of three documents are expected to be cited under their own number, the third under another
+    expected = table(spark, d, "documents").select(F.expr("concat('d', doc_id)").alias("aid"), F.expr("array(CAST(doc_id % 97 + 1 + CASE WHEN doc_id % 3 = 2 THEN 50 ELSE 0 END AS STRING), CAST(doc_id % 97 + 3 AS STRING))").alias("expected"))
     bound = C.bind(C.markers(answers), contexts)
     facts = bound.groupBy("aid").agg(F.collect_set(F.when(F.col("ctx").isNotNull(), F.col("section"))).alias("cited"), F.max((F.col("text") == "") & (F.col("kind") != "other")).alias("stripped"))
     rows = expected.join(facts, "aid", "left")
@@ -230,5 +231,5 @@ SQL = {
 }
 from quarry.plans import language as _language  # noqa: E402
 
-SQL["citation_accuracy"] = f"WITH {_language._BOUND}, facts AS (SELECT aid, list(DISTINCT section) FILTER (ctx IS NOT NULL) AS cited, max(text = '' AND kind <> 'other') AS stripped FROM bound GROUP BY aid), exp AS (SELECT * FROM (VALUES (1, ['35']), (2, ['63']), (3, ['1']), (6, ['36', '35'])) v(aid, expected)) SELECT count(*) AS n, round(avg((NOT coalesce(stripped, false) AND coalesce(list_has_any(cited, expected), false))::INTEGER), 3) AS accuracy FROM exp LEFT JOIN facts USING (aid)"
+SQL["citation_accuracy"] = f"WITH {_language._BOUND}, facts AS (SELECT aid, list(DISTINCT section) FILTER (ctx IS NOT NULL) AS cited, max(text = '' AND kind <> 'other') AS stripped FROM bound GROUP BY aid), exp AS (SELECT 'd' || doc_id AS aid, [(doc_id % 97 + 1 + CASE WHEN doc_id % 3 = 2 THEN 50 ELSE 0 END)::VARCHAR, (doc_id % 97 + 3)::VARCHAR] AS expected FROM documents) SELECT count(*) AS n, round(avg((NOT coalesce(stripped, false) AND coalesce(list_has_any(cited, expected), false))::INTEGER), 3) AS accuracy FROM exp LEFT JOIN facts USING (aid)"
 QUERIES = {name: globals()[name] for name in SQL}

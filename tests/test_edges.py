@@ -12,6 +12,10 @@ from quarry.plans import edges, records
 DATA = "/root/testdata/sf0.001"
 EDGES = [start for _, start, _ in V.TABLE_COLUMNS[1:]]
 
+FORM_LINES = [
+    "FORM No. 12", "BOND AND BAIL-BOND FOR", "", "ATTENDANCE  BEFORE COURT", "[See section 91]", "I, name of place", "Form No 13 continued", "SUMMONS", "(see sections 63 and 64(1))", "FORM No. 14", "one", "two", "three", "four", "[See section 1]", "FORM no.15",
+]
+
 
 def cut(x, width, text, char):
     """A run cut at column edges, edge by edge."""
@@ -40,7 +44,7 @@ def test_runs_are_cut_at_columns(spark):
 
 
 def test_form_titles(spark):
-    rows = [(0, i, t) for i, t in enumerate(edges.FORM_LINES)]
+    rows = [(0, i, t) for i, t in enumerate(FORM_LINES)]
     got = {r["line_no"]: (r["form_number"], r["title"], r["see"]) for r in E.form_titles(spark.createDataFrame(rows, "doc_id int, line_no int, text string")).collect()}
     assert got[0] == (12, "BOND AND BAIL-BOND FOR ATTENDANCE BEFORE COURT", "91") and got[6] == (13, "SUMMONS", "63 and 64(1)")
     assert got[9] == (14, "one two three", None) and got[15] == (15, "", None)
