@@ -1,16 +1,20 @@
 r"""Main text of web pages by line-block distribution.
 
 A page's markup is stripped to lines, one per block element, menus and footers included. Each line weighs something: the
-length of its text; nothing, if most of it is links; and what stands in a menu, an advert, a form and the like, or beside
-the article of a page that marks one, weighs minus infinity. Sums over a sliding window of lines decide: the text surges at
-a line that has weight while nothing is kept, and dives where the window ahead sums to nothing or is walled off. What
+length of its text; nothing, if most of it is links; and what stands in a menu, an advert, a form and the like weighs minus
+infinity. Sums over a sliding window of lines decide, first where the text is: the window with the most text, the peak,
+says whether a page's articles hold its text. If the peak is in an article, what stands beside the articles weighs minus
+infinity; if it is outside all of them and they hold less than half as much as the rest, they are teasers and weigh minus
+infinity themselves. A <main> is the page's by definition, and peaks count inside it. Then where it begins and ends: the
+text surges at a line that has weight while nothing is kept, and dives where the window ahead sums to nothing or is walled off. What
 lies between a surge and a dive is kept, with the lines of links that it holds, and all regions together are the main
 text, short ones too, with lines of links between two of them that are fewer than the window. So a line that stands aside
 is in no region wherever it is, a list of links as long as the window goes, and so do links before the first line of text
 and after the last; nothing else does.
 
 Words of class and id values are not trusted against the text: an element that they set aside keeps its weight all the
-same if it holds more than half of the page's text, or a <main>, or an <article> while none stands beside or around it.
+same if it holds a <main>, or more than half of the page's text while no article stands outside all such elements. Words of
+readers' comments are trusted unless it holds nine tenths. An article inside such an element spares nothing.
 
 A page is scanned once, in time that grows with its length however its markup is broken.
 """
@@ -29,10 +33,12 @@ from pyspark.sql import DataFrame
 from quarry.llm.shared import small_batches
 
 #: Lines of the sliding window; share of link text from which a line is a menu's; share of a page's text from which an
-#: element is not set aside by words.
-LINES, LINKS, MOST = 3, 0.5, 0.5
-#: How an element stands aside: not, by words of its class or id, by what it is.
-IN, BY_WORDS, BY_KIND = 0, 1, 2
+#: element is not set aside by words, and by words of readers' comments.
+LINES, LINKS, MOST, NEARLY_ALL = 3, 0.5, 0.5, 0.9
+#: How an element stands aside: not, by words of its class or id, by words of readers' comments, by what it is.
+IN, BY_WORDS, BY_READERS, BY_KIND = 0, 1, 2, 3
+#: What holds a line: an article, a main.
+ARTICLE, MAIN = 1, 2
 
 #: Elements without content, elements that start a new line, and elements that never hold main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,8 +47,10 @@ NEVER = frozenset("head title script style noscript template nav footer aside fo
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of class and id values (split where letters end) that mark what is not the article.
 OTHER = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adv|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?|overlays?|newsletters?|subscri(?:be|ption)|shar(?:e|ing)|social|related|recommend(?:ed|ations?)?|sidebars?|side-?bar|widgets?|menus?|nav|navbar|navigation|breadcrumbs?|pagination|pager|footers?|masthead|topbar|toolbar|comments?|disqus|respond|repl(?:y|ies)|discussion|login|signup|sign-?up|search(?:box|form|bar)?|skip|disclaimer|copyright)(?:$|[^a-z])"
+    r"(?:^|[^a-z])(?<!\bno[-_])(?<!\bhas[-_])(?<!\bwith[-_])(?:ads?|adv|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?|overlays?|newsletters?|subscri(?:be|ption)|shar(?:e|ing)|sharedaddy|addthis|addtoany|social|related|recommend(?:ed|ations?)?|sidebars?|side-?bar|widgets?|menus?|nav|navbar|navigation|breadcrumbs?|pagination|pager|footers?|masthead|topbar|toolbar|comments?|disqus|respond|repl(?:y|ies)|discussion|login|signup|sign-?up|search(?:box|form|bar)?|skip|disclaimer|copyright)(?:$|[^a-z])"
 )
+READERS = re.compile(r"(?:^|[^a-z])(?<!\bno[-_])(?<!\bhas[-_])(?<!\bwith[-_])(?:comments?|disqus|respond|repl(?:y|ies)|discussion)(?:$|[^a-z])")
+READERS_ARTICLE = re.compile(r"(?:^|\s)(?:comment|reply)(?:-body|-item|-content)?(?:$|\s)")
 PAGE_HEADER = re.compile(r"(?:^|[^a-z])(?:page|site|top|main|global)?-?header(?:$|[^a-z])")
 
 #: Elements whose content is not markup.
@@ -57,34 +65,36 @@ def _aside(name: str, attributes: str, in_article: bool) -> int:
     """Whether an element holds no main text, and by what."""
     if name in NEVER or name == "header" and not in_article:
         return BY_KIND
-    by_words = False
+    how = IN
     for key, value in ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id"):
-            by_words = by_words or bool(OTHER.search(value)) and name not in ("html", "body", "article", "main") or not in_article and bool(PAGE_HEADER.search(value)) and name not in ("html", "body")
+        if key in ("class", "id") and name in ("article", "main"):
+            how = max(how, BY_READERS if READERS_ARTICLE.search(value) else IN)
+        elif key in ("class", "id") and name not in ("html", "body"):
+            words = READERS.search(value) and BY_READERS or OTHER.search(value) and BY_WORDS or not in_article and PAGE_HEADER.search(value) and BY_WORDS
+            how = max(how, words or IN)
         elif key == "role" and value in ROLES or key == "aria-hidden" and value == "true" or key == "hidden":
             return BY_KIND
-    return BY_WORDS if by_words else IN
+    return how
 
 
-def _set_aside(around: list[int], sizes: list[int], most: float, marks: list[tuple[str, int]]) -> list[bool]:
+def _set_aside(around: list[int], readers: list[bool], sizes: list[int], total: int, marks: list[tuple[str, int]]) -> list[bool]:
     """Whether what is in each element with words of class or id stands aside. around: the nearest such element around
-    each, or -1; sizes: its own text; marks: each article and main with the nearest such element around it."""
+    each, or -1; readers: whether its words are of comments; sizes: its own text; total: the page's text; marks: each
+    article and main with the nearest such element around it."""
     n = len(around)
-    sizes, main, some = sizes[:], [False] * n, [False] * n
-    directly = {k for _, k in marks}
+    sizes, main, gone = sizes[:], [False] * n, [False] * n
+    free = any(k < 0 for _, k in marks)
     for name, k in marks:
         if k >= 0:
-            some[k] = True
             main[k] = main[k] or name == "main"
     for k in range(n - 1, -1, -1):
         if (up := around[k]) >= 0:
             sizes[up] += sizes[k]
-            main[up], some[up] = main[up] or main[k], some[up] or some[k]
-    beside, gone = [False] * n, [False] * n
+            main[up] = main[up] or main[k]
     for k, up in enumerate(around):
-        beside[k] = up in directly or up >= 0 and beside[up]
-        gone[k] = up >= 0 and gone[up] or not (sizes[k] > most or main[k] or some[k] and not beside[k])
+        most = sizes[k] > (NEARLY_ALL if readers[k] else MOST) * total and not free
+        gone[k] = up >= 0 and gone[up] or not (main[k] or most)
     return gone
 
 
@@ -138,19 +148,20 @@ def tokens_of(page: str):
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """The page's lines that have text: text, code points of it in links, whether it stands aside, whether an article
-    holds it."""
-    lines: list[tuple[str, int, bool, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
+    """The page's lines that have text: text, code points of it in links, whether it stands aside, what holds it: nothing,
+    ARTICLE, MAIN or both."""
+    lines: list[tuple[str, int, bool, int, int]] = []
     held: list[str] = []
     links = 0
-    #: open elements: name, and what holds within: stands aside by kind, nearest element with words around, is in an
-    #: article, is in a link
-    open_: list[tuple[str, bool, int, bool, bool]] = []
+    #: open elements: name, and what holds within: stands aside by kind, nearest element with words around, article and
+    #: main around, is in a link
+    open_: list[tuple[str, bool, int, int, bool]] = []
     names: Counter = Counter()
-    aside = article = link = False
-    worded = -1
+    aside = link = False
+    worded, article = -1, 0
     around: list[int] = []
+    readers: list[bool] = []
     marks: list[tuple[str, int]] = []
 
     def end_line() -> None:
@@ -164,7 +175,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         nonlocal aside, worded, article, link
         names.subtract(x[0] for x in open_[k:])
         del open_[k:]
-        aside, worded, article, link = open_[-1][1:] if open_ else (False, -1, False, False)
+        aside, worded, article, link = open_[-1][1:] if open_ else (False, -1, 0, False)
 
     for raw, ends, name, attributes in tokens_of(page):
         if not name:
@@ -193,17 +204,18 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
                 if open_[k][0] in BLOCK and open_[k][0] != "p":
                     break
         if name not in VOID and not attributes.endswith("/"):
-            how = IN if aside else _aside(name, attributes, article)
+            how = IN if aside else _aside(name, attributes, article > 0)
             if how != IN:
                 end_line()
             inner = worded
-            if how == BY_WORDS:
+            if how in (BY_WORDS, BY_READERS):
                 inner = len(around)
                 around.append(worded)
-            mark = name in ("article", "main")
+                readers.append(how == BY_READERS)
+            mark = {"article": ARTICLE, "main": MAIN}.get(name, 0)
             if mark and not aside and how != BY_KIND:
                 marks.append((name, inner))
-            open_.append((name, aside or how == BY_KIND, inner, article or mark, link or name == "a"))
+            open_.append((name, aside or how == BY_KIND, inner, article | mark, link or name == "a"))
             names[name] += 1
             aside, worded, article, link = open_[-1][1:]
     end_line()
@@ -213,15 +225,36 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             total += len(text)
             if k >= 0:
                 sizes[k] += len(text)
-    gone = _set_aside(around, sizes, MOST * total, marks)
+    gone = _set_aside(around, readers, sizes, total, marks)
     return [(text, links, by_kind or k >= 0 and gone[k], article) for text, links, by_kind, k, article in lines]
 
 
-def weights_of(lines: list[tuple[str, int, bool, bool]]) -> list[float]:
-    """Of each line: the length of its text, 0 if most of it is links, minus infinity if it stands aside. Where an article
-    holds lines, its lines of links weigh their length and all lines outside it minus infinity."""
-    marked = any(article and not aside for _, _, aside, article in lines)
-    return [-math.inf if aside or marked and not article else 0 if links > LINKS * len(text) and not article else len(text) for text, links, aside, article in lines]
+def peak(lengths: list[int], window: int = LINES) -> int:
+    """The most text that a window of consecutive lines holds."""
+    most = now = 0
+    for i, n in enumerate(lengths):
+        now += n - (lengths[i - window] if i >= window else 0)
+        most = max(most, now)
+    return most
+
+
+def weights_of(lines: list[tuple[str, int, bool, int]]) -> list[float]:
+    """Of each line: the length of its text, 0 if most of it is links, minus infinity if it stands aside, or if the peak of
+    the page says that its text is elsewhere. Inside a main, or articles that hold the peak, lines of links weigh their
+    length."""
+    shown = [not aside for _, _, aside, _ in lines]
+    plain = [len(text) if ok and links <= LINKS * len(text) else 0 for (text, links, _, _), ok in zip(lines, shown)]
+    if main := any(ok and held & MAIN for (_, _, _, held), ok in zip(lines, shown)):
+        shown = [ok and held & MAIN > 0 for (_, _, _, held), ok in zip(lines, shown)]
+    inside = [ok and held & ARTICLE > 0 for (_, _, _, held), ok in zip(lines, shown)]
+    within = [n if ok else 0 for n, ok in zip(plain, inside)]
+    beside = [n if ok and not own else 0 for n, ok, own in zip(plain, shown, inside)]
+    marked = any(inside) and peak(within) >= peak(beside)
+    if marked and not main:
+        shown = inside
+    elif not marked and any(inside) and 2 * sum(within) < sum(beside):
+        shown = [ok and not own for ok, own in zip(shown, inside)]
+    return [-math.inf if not ok else len(text) if main or marked else n for (text, _, _, _), ok, n in zip(lines, shown, plain)]
 
 
 def regions(weights: list[float], window: int = LINES) -> list[tuple[int, int]]:

@@ -221,12 +221,48 @@ def test_kept_lines_by_definition():
         assert html_text.kept_lines(w) == kept_by_definition(w), w
 
 
+TEASERS = '<div class="more">' + "".join(f"<article><h2>Post {i}</h2><p>Read on</p></article>" for i in range(3)) + "</div>"
+TO_POSTS = "<ul>" + "".join(f'<li><a href="/{i}">Earlier post {i}</a></li>' for i in range(5)) + "</ul>"
+COMMENTS = '<ol class="comment-list"><li class="comment"><article class="comment-body"><p>I disagree with all of it.</p></article></li></ol>'
+
+
 def test_windows_decide_on_real_pages(spark, monkeypatch):
-    """Without them, menus and footers are text."""
+    """Pages whose text is in an article, and the same in an unmarked element: with teasers, links and comments behind,
+    the text is the same. Lengths of one, or no windows, give other texts. A text shorter than its teasers can't be told."""
     pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
-    with_ = list(map(html_text.main_text, pages))
-    monkeypatch.setattr(html_text, "kept_lines", lambda weights: range(len(weights)))
-    assert all(a != b for a, b in zip(with_, map(html_text.main_text, pages), strict=True))
+    pages = [p for p in pages if len(html_text.main_text(p)) > 200]
+    assert len(pages) > 30
+    texts = list(map(html_text.main_text, pages))
+    unmarked = [p.replace("<article>", '<div class="post">').replace("</article>", f"</div>{TO_POSTS}{TEASERS}{COMMENTS}") for p in pages]
+    marked = [p.replace("</article>", f"</article>{TO_POSTS}{COMMENTS}") for p in pages]
+    assert list(map(html_text.main_text, unmarked)) == texts
+    assert list(map(html_text.main_text, marked)) == texts
+    with monkeypatch.context() as m:
+        peak = html_text.peak
+        m.setattr(html_text, "peak", lambda lengths: peak([min(n, 1) for n in lengths]))
+        assert sum(a != b for a, b in zip(map(html_text.main_text, unmarked), texts, strict=True)) > len(pages) // 2
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "kept_lines", lambda weights: [i for i, w in enumerate(weights) if w > -math.inf])
+        assert all(a != b for a, b in zip(map(html_text.main_text, unmarked), texts, strict=True))
+
+
+def test_peak_by_definition():
+    rng = random.Random(5)
+    for _ in range(200):
+        lengths = [rng.randint(0, 9) for _ in range(rng.randint(0, 9))]
+        assert html_text.peak(lengths) == max((sum(lengths[i : i + 3]) for i in range(len(lengths))), default=0)
+
+
+@pytest.mark.parametrize("behind", [TEASERS, COMMENTS, f'<div class="comments">{"<p>I disagree with all of what is said there.</p>" * 20}</div>', '<article class="comment"><p>No.</p></article>'])
+def test_teasers_and_comments_are_not_the_text(behind):
+    assert html_text.main_text(f'<body><div class="post">{BODY}</div>{behind}</body>') == "\n".join(LINES)
+    assert html_text.main_text(f"<body><article>{BODY}</article>{COMMENTS}</body>") == "\n".join(LINES)
+
+
+def test_an_article_with_a_lead_outside_stays_whole():
+    lead = f"<p>{'A long lead before it. ' * 20}</p>"
+    assert html_text.main_text(f"<body>{lead}<article>{BODY}</article></body>") == "\n".join([("A long lead before it. " * 20).strip(), *LINES])
+    assert html_text.main_text(f'<main>{BODY}<div class="more"><article><p>Teaser</p></article></div></main><p>{"Outside. " * 300}</p>') == "\n".join(LINES)
 
 
 def random_page(rng):
