@@ -6,7 +6,8 @@ complementary part stands within SCOPE code points in the same text: the candida
 cell by cell, and a semi join asks for one partner, so that no pairs are emitted.
 
 Positions come from splitting a text by a pattern: what lies between the matches and the matches themselves alternate,
-and running sums of their lengths are the offsets. Texts without any hit of a pattern are never split.
+and running sums of their lengths are the offsets: over sqrt(n) matches at a time, then over those sums, since a fold that
+appends to an array copies it. Texts without any hit of a pattern are never split.
 """
 
 from __future__ import annotations
@@ -37,20 +38,38 @@ KINDS = (*BASE, *(kind for kind, _ in WEAK))
 SCOPE = 256
 
 
-def spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
-    """Array of (start, end, kind) of the leftmost matches that don't overlap; keep: a test of the matched text."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,ok:boolean>>").alias("out"))
+def once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used, in lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def offsets(pairs: Column) -> Column:
+    """Array of (start, end, ok) of hits from the lengths of the gaps before them and of themselves: pairs (gap, hit, ok)."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,ok:boolean>>").alias("out"))
+    bases = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    width = F.greatest(F.ceil(F.sqrt(F.size(pairs))), F.lit(1)).cast("int")
 
     def step(acc, pair):
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        one = F.struct(start.alias("start"), end.alias("end"), (keep(pair["hit"]) if keep else F.lit(True)).alias("ok"))
+        start = acc["at"] + pair["gap"]
+        end = start + pair["hit"]
+        one = F.struct(start.alias("start"), end.alias("end"), pair["ok"].alias("ok"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    hits = F.filter(F.aggregate(pairs, state, step)["out"], lambda s: s["ok"])
+    def whole(parts):
+        before = F.aggregate(parts, bases, lambda acc, part: F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        return F.flatten(F.zip_with(parts, before, lambda part, base: F.transform(part["out"], lambda s: F.struct((s["start"] + base).alias("start"), (s["end"] + base).alias("end"), s["ok"].alias("ok")))))
+
+    firsts = F.sequence(F.lit(1), F.greatest(F.size(pairs), F.lit(1)), width)
+    return once(F.transform(firsts, lambda first: F.aggregate(F.slice(pairs, first, width), none, step)), whole)
+
+
+def spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
+    """Array of (start, end, kind) of the leftmost matches that don't overlap; keep: a test of the matched text."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern)
+    lengths = lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit"), (keep(h) if keep else F.lit(True)).alias("ok"))
+    pairs = once(found, lambda hits: F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lengths))
+    hits = F.filter(once(pairs, offsets), lambda s: s["ok"])
     as_spans = F.transform(hits, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(KINDS.index(kind)).alias("kind")))
     none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
     return F.when(text.rlike(pattern), as_spans).otherwise(none)
@@ -82,13 +101,16 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     role = F.create_map(*(F.lit(x) for i, k in enumerate(KINDS) for x in (i, ROLE[k])))
     first_weak = len(BASE)
     needs = F.create_map(*(x for k in NEEDS for x in (F.lit(KINDS.index(k)), F.array(*map(F.lit, NEEDS[k])))))
-    wanted = parts.where(F.col("kind") >= first_weak).withColumn("need", F.explode(F.element_at(needs, F.col("kind")))).withColumn("cell", F.explode(F.sequence(F.col("cell") - 1, F.col("cell") + 1)))
+    # a weak span inside a base one is none; a base span stands in every cell that it reaches
+    covers = parts.where(F.col("kind") < first_weak).select(F.col("row").alias("b_row"), F.explode(F.sequence(F.col("cell"), F.expr(f"end div {scope}"))).alias("b_cell"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    covered = (F.col("row") == F.col("b_row")) & (F.col("cell") == F.col("b_cell")) & (F.col("b_start") <= F.col("start")) & (F.col("end") <= F.col("b_end"))
+    outside = parts.where(F.col("kind") >= first_weak).join(covers, covered, "left_anti")
+    wanted = outside.withColumn("need", F.explode(F.element_at(needs, F.col("kind")))).withColumn("cell", F.explode(F.sequence(F.col("cell") - 1, F.col("cell") + 1)))
     offered = parts.select(F.col("row").alias("o_row"), F.col("cell").alias("o_cell"), F.element_at(role, F.col("kind")).alias("role"), F.col("start").alias("o_start"), F.col("end").alias("o_end"))
     near = (F.col("row") == F.col("o_row")) & (F.col("cell") == F.col("o_cell")) & (F.col("need") == F.col("role")) & (F.abs(F.col("start") - F.col("o_start")) <= scope) & ((F.col("end") <= F.col("o_start")) | (F.col("o_end") <= F.col("start")))
     linked = wanted.join(offered, near, "left_semi").groupBy("row").agg(F.collect_set(F.struct("start", "end", "kind")).alias("linked"))
 
     rows = found.join(linked, "row", "left")
-    outside = F.filter(F.coalesce("linked", F.array().cast("array<struct<start:int,end:int,kind:int>>")), lambda w: ~F.exists("base", lambda b: (b["start"] <= w["start"]) & (w["end"] <= b["end"])))
-    rows = rows.select("doc_id", "base", outside.alias("more"))
+    rows = rows.select("doc_id", "base", F.coalesce("linked", F.array().cast("array<struct<start:int,end:int,kind:int>>")).alias("more"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return rows.select("doc_id", *map(count, BASE), F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.array_sort(F.concat("base", "more"))).alias("spans"), F.size("more").cast("long").alias("n_weak"))

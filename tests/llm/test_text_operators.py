@@ -177,6 +177,22 @@ PAGES = [
 ]
 
 
+def test_secrets_of_a_text_with_many_hits(spark):
+    """Time grows with the hits: 20,000 of each kind, weak ones inside base ones among them."""
+    import time
+
+    unit = "0123456789abcdef user=bob pwd=hunter22 token=abcdefabcdefabcdef01 "
+    df = spark.createDataFrame([(1, unit * 20_000), (2, unit), (3, None)], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(df).collect()}
+    assert time.time() - began < 60
+    one = [s.split(":") for s in got[2]["spans"].split(",")]
+    assert got[1]["n_hex"] == 20_000 * got[2]["n_hex"] and got[1]["n_assign"] == 20_000 and got[3]["spans"] == ""
+    moved = [f"{k}:{int(a) + len(unit) * i}:{int(b) + len(unit) * i}" for i in range(20_000) for k, a, b in one]
+    assert got[1]["spans"] == ",".join(moved)
+
+
+
 def test_main_text(spark, none):
     df = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string")
     got = {r["page_id"]: r for r in html_text.extract_pages(df).collect()}
