@@ -86,6 +86,13 @@ def section_gate(spark, d):
     return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "number", "starts", "chapter")
 
 
+def margin_titles(spark, d):
+    """Orders as pages: odd items are sections, even ones and some of the odd ones are notes in the margin."""
+    items = table(spark, d, "lineitem").selectExpr("l_orderkey div 100 AS doc_id", "l_orderkey % 100 AS page", "l_linenumber AS number", "l_partkey % 60 * 5 AS y", "l_suppkey % 50 * 6 AS top_y", "concat('  note ', l_partkey, ' OF\nthe page', CASE WHEN l_linenumber % 4 < 2 THEN '.' ELSE '. ' END) AS text", "l_orderkey % 5 AS odd")
+    found = E.titles(items.where("number % 2 = 1").select("doc_id", "page", "number", "y"), items.where("number % 2 = 0 OR odd = 0").select("doc_id", "page", "top_y", "text"))
+    return found.withColumn("chapter", F.initcap(F.lower("title")))
+
+
 def schedule_entries(spark, d):
     """Table lines folded to entries of the schedule."""
     from quarry.operators import layout as L
@@ -130,6 +137,14 @@ l2 AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY doc_id ORDER BY page, li
 l3 AS (SELECT *, row_number() OVER w AS i, last_value(nullif(offence, '') IGNORE NULLS) OVER (PARTITION BY doc_id, entry ORDER BY page, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_ FROM l2 WHERE entry > 0 AND concat({", ".join(_KEYS)}) <> '' WINDOW w AS (PARTITION BY doc_id, entry ORDER BY page, line_no)),
 l4 AS (SELECT *, sum((opens OR i = 1 OR label <> '' OR (offence <> '' AND coalesce(regexp_matches(before_, '[.;]$'), false)))::INTEGER) OVER (PARTITION BY doc_id, entry ORDER BY page, line_no)::BIGINT AS row_ FROM l3)
 SELECT doc_id, entry, row_ AS "row", max(label) FILTER (opens) AS label, {", ".join(f"{_cell(k)} AS {k}" for k in _KEYS)} FROM l4 GROUP BY ALL"""
+_TITLES = """WITH RECURSIVE i AS (SELECT l_orderkey // 100 AS doc_id, l_orderkey % 100 AS page, l_linenumber AS number, l_partkey % 60 * 5 AS y, l_suppkey % 50 * 6 AS top_y, l_orderkey % 5 AS odd, trim(regexp_replace(regexp_replace('  note ' || l_partkey || ' OF' || chr(10) || 'the page' || CASE WHEN l_linenumber % 4 < 2 THEN '.' ELSE '. ' END, '\\.$', ''), '\\s+', ' ', 'g')) AS text FROM lineitem),
+s AS (SELECT doc_id, page, list({'number': number, 'y': y} ORDER BY y DESC, number) AS s FROM i WHERE number % 2 = 1 GROUP BY ALL),
+n AS (SELECT doc_id, page, list({'top_y': top_y, 'text': text} ORDER BY top_y DESC, text) AS n FROM i WHERE number % 2 = 0 OR odd = 0 GROUP BY ALL),
+w AS (SELECT doc_id, page, s, n, 0 AS k, CASE WHEN len(s) = len(n) THEN list_transform(n, lambda x: x.text) ELSE list_transform(s, lambda x: NULL::VARCHAR) END AS t FROM s LEFT JOIN n USING (doc_id, page)
+  UNION ALL SELECT doc_id, page, s, n, k + 1, list_transform(range(1, len(s) + 1), lambda j: CASE WHEN j = best.j AND best.gap < 40 THEN n[k + 1].text ELSE t[j] END)
+  FROM (SELECT *, list_sort(list_transform(list_filter(range(1, len(s) + 1), lambda j: coalesce(t[j], '') = ''), lambda j: {'gap': abs(s[j].y - n[k + 1].top_y), 'j': j}))[1] AS best FROM w WHERE len(s) <> len(n) AND k < len(n))),
+e AS (SELECT doc_id, page, unnest(s) AS x, unnest(t) AS title FROM w WHERE len(s) = len(n) OR k = coalesce(len(n), 0))
+SELECT doc_id, page, x.number AS number, x.y AS y, title, array_to_string(list_transform(string_split(lower(title), ' '), lambda v: upper(v[1]) || v[2:]), ' ') AS chapter FROM e"""
 #: Answers of the echo model: the first line of the context, which is the best passage's number and heading.
 _ANSWERS = f"""WITH {language._QS}, {search.bm25_sql("qs", "qid", "q")},
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (SELECT qid, doc_id, round(sum(weight * idf), 6) AS score FROM post JOIN qterm USING (term) GROUP BY ALL)) WHERE rank <= {V.TOP_K}),
@@ -142,6 +157,7 @@ SELECT qid, exit, CASE WHEN exit = 'answered' THEN told END AS answer, CASE WHEN
 SQL = {
     "schedule_entries": _ENTRIES,
     "answer_pipeline": _ANSWERS,
+    "margin_titles": _TITLES,
     "ip_keys": "SELECT DISTINCT user_id, CASE WHEN user_id % 3 = 0 THEN '10.0.0.' || user_id WHEN user_id % 3 = 1 THEN '10.1.0.' || user_id WHEN user_id * 4 < 256 THEN '2001:db8::/56' ELSE '2001:db8:0:' || lower(to_hex((user_id * 4) // 256 * 256)) || '::/56' END AS key FROM events",
     "request_validation": "SELECT conv_id, turn, length(text) BETWEEN 1 AND 4000 AND turn * 7 BETWEEN 1 AND 50 AND 8 + turn * 20 BETWEEN 8 AND 64 AS ok FROM conversations",
     "ttl_alive": f"SELECT event_id FROM events WHERE ts > TIMESTAMP '{NOW}' - INTERVAL 10 DAY",
