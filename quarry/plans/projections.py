@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-from quarry.sources import files
-from quarry.sources.tables import table
+from quarry.sources import archives, files
+from quarry.sources.tables import shared_folder, table
 
 PREFIX = "Represent this sentence for searching relevant passages: "
 #: Words that every fourth document gets at its end, as its texts are prose without provisos.
@@ -21,6 +21,16 @@ def embed_texts(spark, d):
     return docs.select("doc_id", F.sha2(files.with_prefix(whole, False, PREFIX).cast("binary"), 256).alias("embed_sha256"), X.structural_flags(F.col("text")).alias("f")).select("doc_id", "embed_sha256", "f.*")
 
 
+def archive_round_trip(spark, d):
+    """Documents as the files of an archive, read back from its parts."""
+    archives.register(spark)
+    folder = shared_folder(spark, "archives")
+    docs = table(spark, d, "documents").select(F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content"))
+    docs.write.format("quarry_archive").mode("append").save(folder)
+    back = spark.read.format("quarry_archive").load(folder)
+    return back.select("name", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def query_prefixes(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.sha2(files.with_prefix(F.col("text"), True, PREFIX).cast("binary"), 256).alias("query_sha256"))
 
@@ -39,6 +49,7 @@ def embedded_json(spark, d):
 
 # ---- the same in SQL ------------------------------------------------------------------------------------------
 SQL = {
+    "archive_round_trip": "SELECT 'doc-' || doc_id || '.txt' AS name, strlen(text) AS n_bytes, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL",
     "embed_texts": f"SELECT doc_id, sha256(CASE WHEN lang <> 'en' AND lang <> '' THEN lang || chr(10) ELSE '' END || CASE WHEN source <> '' THEN source || chr(10) ELSE '' END || t) AS embed_sha256, regexp_matches(t, '\\bIllustrations?\\b') AS has_illustration, regexp_matches(t, '\\bProvided\\b') AS has_proviso, regexp_matches(t, '\\bException\\b') AS has_exception, regexp_matches(t, '\\bExplanation\\b') AS has_explanation FROM (SELECT *, text || {TAIL} AS t FROM documents)",
     "query_prefixes": f"SELECT item_id, sha256('{PREFIX}' || text) AS query_sha256 FROM benchmark",
     "first_lines": "SELECT conv_id, turn, sha256(regexp_replace(string_split(trim(CASE WHEN turn % 2 = 0 THEN '\"' ELSE '' END || text || CASE WHEN turn % 3 = 0 THEN '\"''' ELSE '' END || chr(10)), chr(10))[1], '^[\"'']+|[\"'']+$', '', 'g')) AS line_sha256 FROM conversations",
