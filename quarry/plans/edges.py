@@ -159,20 +159,71 @@ def concurrency_cap(spark, d):
     return E.slots(rows, "box", "user_id", "ts", "until", "event_id").select("box", F.col("request_id").alias("event_id"), "allowed")
 
 
-def sweep_configs(spark, d):
-    """The eight configurations of the evaluation: fusion's constant, reranked pool and the characters it sees."""
+def _swept(spark, d):
+    """(held, sparse, {configuration: results}): the eight configurations of the evaluation: fusion's constant, reranked
+    pool and the characters it sees."""
     held, dense, sparse = records._legs(spark, d)
     fused = {k: written(S.hybrid(dense, sparse, k), "fused") for k in (60, 20)}
-    out = None
+    swept = {}
     for name, k, pool, chars in V.SWEEP:
         rows = fused[k]
-        if pool:
-            rows = S.rerank_order(rows, search.rerank_scores(spark, d, rows, pool, chars), pool)
+        swept[name] = S.rerank_order(rows, search.rerank_scores(spark, d, rows, pool, chars), pool) if pool else rows
+    return held, sparse, swept
+
+
+def sweep_configs(spark, d):
+    held, _, swept = _swept(spark, d)
+    out = None
+    for name, rows in swept.items():
         one = records.R.ranking_metrics(rows, held).withColumn("config", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def answer_metrics(answers, contexts, expected, refused):
+    """(config, answered, refused_in_scope, citation_accuracy, refusal_rate_out_of_scope): a question is in scope if expected
+    (qid, id) has it; an answer is grounded if no marker of it was stripped and one cites what is expected. answers: config,
+    qid, answer; contexts: config, qid and those of bind() after aid; refused (qid, refused): each question once. Accuracy
+    is 0 without answers, the rate null if all questions are in scope."""
+    aid = F.concat_ws("|", "config", "qid").alias("aid")
+    bound = C.bind(C.markers(answers.select(aid, "answer")), contexts.select(aid, *(c for c in contexts.columns if c not in ("config", "qid"))))
+    facts = bound.groupBy("aid").agg(F.collect_set(F.when(F.col("ctx").isNotNull(), F.col("section"))).alias("cited"), F.max((F.col("text") == "") & (F.col("kind") != "other")).alias("stripped"))
+    wanted = expected.groupBy("qid").agg(F.collect_set(F.col("id").cast("string")).alias("expected"))
+    rows = answers.select("config", "qid", aid).join(facts, "aid", "left").join(wanted, "qid", "left").join(refused, "qid")
+    inside = F.col("expected").isNotNull()
+    answered = inside & ~F.col("refused")
+    grounded = answered & ~F.coalesce("stripped", F.lit(False)) & F.coalesce(F.arrays_overlap("cited", "expected"), F.lit(False))
+    share = F.coalesce(F.round(F.try_divide(F.count_if(grounded), F.count_if(answered)), 3), F.lit(0.0))
+    return rows.groupBy("config").agg(F.count_if(answered).alias("answered"), F.count_if(inside & F.col("refused")).alias("refused_in_scope"), share.alias("citation_accuracy"), F.round(F.try_divide(F.count_if(~inside & F.col("refused")), F.count_if(~inside)), 3).alias("refusal_rate_out_of_scope"))
+
+
+#: Best sparse score below which a question of the answer pass is refused.
+LEAST = 40.0
+
+
+def _cited(swept):
+    """(answers, contexts) of each configuration: the first two results are cited, and every fourth question also cites
+    what was not retrieved."""
+    rows = None
+    for name, found in swept.items():
+        one = found.where(F.col("rank") <= V.TOP_K).select(F.lit(name).alias("config"), "qid", "id", "rank")
+        rows = one if rows is None else rows.unionByName(one)
+    rows = written(rows, "swept")
+    marks = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= 2, F.struct("rank", "id")))), lambda x: F.concat(F.lit("[BNSS s."), x["id"].cast("string"), F.lit("]"))), " and ")
+    answers = rows.groupBy("config", "qid").agg(marks.alias("m")).select("config", "qid", F.concat(F.lit("So it is held "), "m", F.when(F.col("qid").cast("long") % 4 == 1, " [BNSS s.99999999]").otherwise("")).alias("answer"))
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    contexts = rows.select("config", "qid", F.col("rank").cast("int").alias("idx"), F.lit("statute").alias("source"), F.lit("BNSS").alias("act_short"), F.col("id").cast("string").alias("section_number"), none("subsection", "string"), none("text", "string"), none("document_name", "string"), none("page_start", "int"), none("page_end", "int"))
+    return answers, contexts
+
+
+def answer_pass(spark, d):
+    """The questions of benchmark under the eight configurations: how many are answered, refused and grounded."""
+    held, sparse, swept = _swept(spark, d)
+    best = sparse.groupBy("qid").agg(F.max("score").alias("best"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid")).join(best, "qid", "left")
+    return answer_metrics(*_cited(swept), held, asked.select("qid", (F.coalesce("best", F.lit(0.0)) < LEAST).alias("refused")))
+
+
 def sql_functions(spark, d):
     """The functions that SQL can call, over all turns."""
     E.register(spark)
@@ -218,5 +269,5 @@ SQL = {
     "table_region": "WITH r AS (SELECT l_orderkey // 500 AS doc_id, (l_orderkey // 50 % 10)::INTEGER AS page, l_orderkey % 50 AS line_no, l_linenumber * 60 AS x, CASE WHEN l_orderkey % 5 = 1 THEN (1 + l_linenumber % 6)::VARCHAR WHEN l_orderkey % 31 = 7 AND l_linenumber = 1 THEN 'II. - Other acts' ELSE 'r' || l_linenumber END AS str FROM lineitem), l AS (SELECT doc_id, page, line_no, count(*) AS n, count(*) >= 4 AND bool_and(regexp_matches(str, '^[1-6]$')) AS numbers, regexp_matches(string_agg(str, ' ' ORDER BY x, str), '^II\\.\\s*[—–-]') AS two FROM r GROUP BY ALL), e AS (SELECT *, min(line_no) FILTER (two) OVER (PARTITION BY doc_id, page) AS stop FROM l), s AS (SELECT *, max(line_no) FILTER (numbers) OVER (PARTITION BY doc_id, page) AS start FROM e WHERE stop IS NULL OR line_no < stop) SELECT doc_id, page, line_no, n FROM s WHERE line_no > coalesce(start, -1)",
 }
 #: Folds and ordered state: tests/test_edges.py compares with brute force in Python.
-NO_SQL = ("split_runs", "concurrency_cap", "sql_functions", "sweep_configs")
+NO_SQL = ("split_runs", "concurrency_cap", "sql_functions", "sweep_configs", "answer_pass")
 QUERIES = {name: globals()[name] for name in (*SQL, *NO_SQL)}

@@ -69,6 +69,28 @@ def test_sweep_agrees_with_the_plain_grid(spark):
     assert full["no reranker, RRF k=60"] == plain["hybrid_k60"] and full["no reranker, RRF k=20"] == plain["hybrid_k20"]
 
 
+def test_answer_pass_by_hand(spark):
+    held, sparse, swept = edges._swept(spark, DATA)
+    want, best = {}, {}
+    for r in held.collect():
+        want.setdefault(r["qid"], set()).add(r["id"])
+    for r in sparse.collect():
+        best[r["qid"]] = max(best.get(r["qid"], 0), r["score"])
+    asked = [r["item_id"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    got = {r["config"]: (r["answered"], r["refused_in_scope"], r["citation_accuracy"], r["refusal_rate_out_of_scope"]) for r in edges.answer_pass(spark, DATA).collect()}
+    assert list(want) and list(got) and set(got) == set(swept)
+    for name, rows in swept.items():
+        two = {}
+        for r in rows.where("rank <= 2").collect():
+            two.setdefault(r["qid"], set()).add(r["id"])
+        refused = {q for q in asked if best.get(q, 0) < edges.LEAST}
+        inside, outside = [q for q in asked if q in want and q in two], [q for q in asked if q not in want and q in two]
+        answered = [q for q in inside if q not in refused]
+        grounded = [q for q in answered if q % 4 != 1 and two[q] & want[q]]
+        rate = round(sum(q in refused for q in outside) / len(outside), 3) if outside else None
+        assert got[name] == (len(answered), len(inside) - len(answered), round(len(grounded) / len(answered), 3) if answered else 0.0, rate), name
+
+
 def test_functions_in_sql(spark):
     turns = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect()}
     rows = edges.sql_functions(spark, DATA).collect()
