@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions import tables
 from quarry.functions import text as X
 from quarry.functions import values as V
 from quarry.operators import chunking as C
@@ -45,6 +46,13 @@ def chunk_documents(spark, d):
     return C.chunk_documents(docs).select(F.col("id").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def chunk_pages_function(spark, d):
+    """Documents in tens as pages, chunked by the table function in SQL."""
+    tables.register(spark)
+    table(spark, d, "documents").createOrReplaceTempView("quarry_documents")
+    return spark.sql("SELECT id AS upload, CAST(chunk_index AS BIGINT) AS chunk_index, page_start, page_end, sha2(text, 256) AS text_sha256 FROM quarry_chunk_pages(TABLE(SELECT doc_id div 10 AS id, CAST(doc_id % 10 + 1 AS INT) AS page, text FROM quarry_documents))")
+
+
 def chunk_page_ranges(spark, d):
     """Documents in tens as the pages of an upload, long ones and those without n_chars too: which pages each chunk
     holds."""
@@ -181,5 +189,6 @@ SQL = {
     "form_search": f"WITH {_FORMS} SELECT 'a' AS query, manifest, form_number FROM forms WHERE contains(lower(title), 'a') UNION ALL SELECT '12', manifest, form_number FROM forms WHERE contains(lower(title), '12') OR form_number = 12 UNION ALL SELECT '  ', manifest, form_number FROM forms",
 }
 #: The name that the query of all documents had while chunk_page_ranges left long ones out.
+SQL["chunk_pages_function"] = SQL["chunk_page_ranges"]
 SQL["chunk_page_ranges_whole"], chunk_page_ranges_whole = SQL["chunk_page_ranges"], chunk_page_ranges
 QUERIES = {name: globals()[name] for name in SQL}
