@@ -30,6 +30,14 @@ def save_manifest(forms: DataFrame, path: str) -> None:
     forms.orderBy("form_number").write.mode("overwrite").json(path)
 
 
+def save_manifests(forms: DataFrame, by: str, path: str) -> None:
+    """Forms as one JSON document per act, a line each: the act (by, as text), how many forms, and the forms by number with
+    what else their rows say. An act has as many forms as one document holds."""
+    own = [c for c in forms.columns if c not in (by, "form_number")]
+    rows = forms.groupBy(F.col(by).cast("string").alias("act")).agg(F.count("*").cast("int").alias("form_count"), F.array_sort(F.collect_list(F.struct("form_number", *own))).alias("forms"))
+    rows.select(F.to_json(F.struct("act", "form_count", "forms")).alias("value")).write.mode("overwrite").text(path)
+
+
 def exposition(series: DataFrame) -> DataFrame:
     """series (metric, labels map<string,string>, value) as lines of the text exposition format."""
     pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), F.replace(F.replace(e["value"], F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))

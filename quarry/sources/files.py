@@ -30,6 +30,11 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema(MANIFEST).json(path).select(F.explode("forms").alias("f")).select("f.*")
 
 
+def manifests(spark: SparkSession, path: str) -> DataFrame:
+    """(act, form_count, and the columns of a form) of manifests that are a line each."""
+    return spark.read.schema(MANIFEST).json(path).select("act", "form_count", F.explode("forms").alias("f")).select("act", "form_count", "f.*")
+
+
 def golden(spark: SparkSession, path: str) -> DataFrame:
     """Questions with the sections that answer them, a line each; must_refuse marks those that nothing answers."""
     rows = spark.read.schema(GOLDEN).json(path).where(F.col("q").isNotNull())
