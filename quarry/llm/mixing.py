@@ -20,7 +20,6 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -220,12 +219,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sources, n_sources, words = numbered(found)
     sources = with_targets(sources, words, share, weights)
 
-    def plan(frames):
-        for pdf in frames:
-            made = [plan_of(r.number, r.size, r.target, block_words, seed) for r in pdf.itertuples()]
-            yield pdf.assign(**{name: np.array([m[k] for m in made], np.int64) for k, name in enumerate(("blocks", "slots", "cut"))})
+    def plan(batches):
+        for batch in batches:
+            made = [plan_of(r["number"], r["size"], r["target"], block_words, seed) for r in batch.select(["number", "size", "target"]).to_pylist()]
+            for k, name in enumerate(("blocks", "slots", "cut")):
+                batch = batch.append_column(name, pa.array([m[k] for m in made], pa.int64()))
+            yield batch
 
-    planned = sources.mapInPandas(plan, "skey string, size long, rows long, number long, target double, blocks long, slots long, cut long")
+    planned = sources.select("skey", "size", "rows", "number", "target")
+    planned = planned.mapInArrow(plan, "skey string, size long, rows long, number long, target double, blocks long, slots long, cut long")
     planned = planned.withColumn("grp", F.expr(f"number div {max(1, -(-n_sources // GROUPS))}"))
     before = F.sum("slots").over(Window.partitionBy("grp").orderBy("number")) - F.col("slots")
     sources = written(planned.withColumn("first", before), "sources")
@@ -269,16 +271,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = sources.where("slots > 0").select("grp", "number", "first", "blocks", "slots", "cut", F.col("size").alias("source_size"), F.explode(F.expr(f"sequence(first div {PART}, (first + slots - 1) div {PART})")).alias("part"))
     slots = dealt.join(parts, ["grp", "part"]).where("at >= first AND at < first + slots").select("shard", "number", (F.col("at") - F.col("first")).alias("slot"), "blocks", "slots", "cut", "source_size")
 
-    def fill(frames):
-        for pdf in frames:
-            slot, blocks = pdf["slot"].to_numpy(), pdf["blocks"].to_numpy()
+    def fill(batches):
+        for batch in batches:
+            shard, number, slot, blocks, slots, cut, source_size = (batch.column(c).to_numpy() for c in ("shard", "number", "slot", "blocks", "slots", "cut", "source_size"))
             taken = slot // np.maximum(blocks, 1)
-            block = permuted(slot - taken * blocks, blocks, key_of(seed, pdf["number"].to_numpy(), taken))
-            words = np.minimum(block_words, pdf["source_size"].to_numpy() - block * block_words)
-            words = np.where(slot == pdf["slots"].to_numpy() - 1, pdf["cut"].to_numpy(), words)
-            yield pd.DataFrame({"shard": pdf["shard"], "number": pdf["number"], "slot": slot, "pass": taken, "block": block, "words": words})
+            block = permuted(slot - taken * blocks, blocks, key_of(seed, number, taken))
+            words = np.minimum(block_words, source_size - block * block_words)
+            words = np.where(slot == slots - 1, cut, words)
+            yield pa.RecordBatch.from_pydict({"shard": shard, "number": number, "slot": slot, "pass": taken, "block": block, "words": words})
 
-    slots = slots.mapInPandas(fill, "shard long, number long, slot long, pass long, block long, words long")
+    # by shards, in tasks of their own: a task that draws and fills holds two workers, and idle ones keep their memory
+    slots = slots.repartition("shard").mapInArrow(fill, "shard long, number long, slot long, pass long, block long, words long")
     return Mix(written(placed, "documents"), slots, block_words)
 
 

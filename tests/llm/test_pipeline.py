@@ -1,11 +1,12 @@
 """The pipeline's stages against brute force on a small table, and its queries' SQL."""
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
 import corpus_pipeline
-from quarry.llm import bpe, queries
+from quarry.llm import bpe, mixing, queries
 from tests.llm import test_corpus_operators as C
 
 
@@ -68,6 +69,21 @@ def test_odd_rows_go_through_all_stages(spark, odd, none):
         assert none.count() == 0
 
 
+def test_mixing_has_one_worker_per_task(documents):
+    """Two Python steps in one task take two workers, and idle ones keep their memory while later stages use them in turn."""
+    steps = [x for x in mixing.mix_sources(documents).slots._jdf.queryExecution().executedPlan().toString().split("\n") if "MapIn" in x or "Exchange" in x or "WholeStage" in x]
+    first, second = [i for i, x in enumerate(steps) if "MapIn" in x][:2]
+    assert any("Exchange" in x and "BroadcastExchange" not in x for x in steps[first:second])
+
+
+def test_blocks_are_smaller_than_batches():
+    texts = [f"{i} " * 5000 for i in range(10, 1000)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    made = list(bpe.small_blocks([batch, batch]))
+    assert [t for _, own in made for t in own] == 2 * texts and [k for own, _ in made for k in own] == 2 * list(range(len(texts)))
+    assert max(sum(len(t or "") for t in own) for _, own in made) < bpe.BLOCK + bpe.ROWS * 21_000
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_sql(name, same):
     same(queries.QUERIES[name], queries.ORACLE_SQL[name])
