@@ -14,29 +14,54 @@ hold the documents that it wants.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.bpe import ChunkMemory
-from quarry.llm.shared import blocks, chunk_pattern, shared_folder, small_batches
+from quarry.llm.shared import shared_folder, small_batches
 
 #: Fixed values of the seekable format, and of our index frame.
 SEEK_MAGIC, SEEK_END, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A5D
-#: Chunks of text that the tokenizer gets as one.
-JOINED = 200
+#: Chunks of text that the tokenizer gets as one, bytes of chunks and ids that a worker remembers, and bytes of a block.
+JOINED, MEMORY, BLOCK = 200, 32 << 20, 8 << 20
 ENTRY = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("n", "<i8")])
 
 
-class FastTokenizer(ChunkMemory):
-    """The tokenizers library, asked once for each chunk of text; documents are put together from the chunks."""
+def parts(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values of a large string or binary array start in its bytes, with the end of the last; and those bytes."""
+    if not len(array):
+        return np.zeros(1, np.int64), np.empty(0, np.uint8)
+    _, offsets, data = array.buffers()
+    at = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1]
+    return at - at[0], np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]
+
+
+def text_blocks(batches):
+    """doc_ids and texts, as an Arrow array, of consecutive rows whose texts hold about BLOCK bytes."""
+    keys, texts, size = [], [], 0
+    for batch in batches:
+        keys += batch.column("doc_id").to_pylist()
+        texts.append(batch.column("text").cast(pa.large_string()))
+        size += batch.nbytes
+        if size >= BLOCK:
+            yield keys, pa.concat_arrays(texts)
+            keys, texts, size = [], [], 0
+    if keys:
+        yield keys, pa.concat_arrays(texts)
+
+
+class FastTokenizer:
+    """The tokenizers library, asked once for each chunk of text; documents are put together from the chunks.
+
+    Chunks stay in Arrow arrays from the text to the ids: no Python object stands for a word. The chunks met so far are
+    remembered, and when they fill MEMORY bytes, what came in two blocks or more stays."""
 
     _made: dict[str, FastTokenizer] = {}
 
@@ -44,18 +69,21 @@ class FastTokenizer(ChunkMemory):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # executors run tasks side by side as it is
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True  # the text of a special token is ordinary text
         # what this library's pattern takes for white space: two of it in a row come apart
         apart = lambda c: len(self.own.pre_tokenizer.pre_tokenize_str(f"a{c}{c}a")) == 4 or c == " "
-        self.spaces = frozenset(filter(apart, map(chr, range(0x3001))))
-        self.chunks = chunk_pattern(re.escape("".join(sorted(self.spaces)))).findall
+        spaces = [c.encode("utf-8") for c in map(chr, range(0x3001)) if apart(c)]
+        # letters and digits of ASCII 0, white space of ASCII 2, the rest of ASCII 1; no cut stands beside other characters' bytes
+        self.right = np.array([0 if b > 127 or chr(b).isalnum() else 2 if bytes([b]) in spaces else 1 for b in range(256)], np.uint8)
+        self.left = np.where(np.arange(256) > 127, 2, self.right).astype(np.uint8)
+        self.wide = [np.array([int.from_bytes(c, "big") for c in spaces if len(c) == n]) for n in (2, 3)]
         # bytes of each id: a byte-level vocabulary has a character for each byte
         vocabulary = self.own.get_vocab(with_added_tokens=False)
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)
+        self.seen, self.ids, self.common = pa.array([], pa.large_string()), pa.array([], pa.large_binary()), np.zeros(0, bool)
 
     @classmethod
     def of(cls, path: str) -> FastTokenizer:
@@ -64,29 +92,74 @@ class FastTokenizer(ChunkMemory):
             cls._made = {path: cls(path)}
         return cls._made[path]
 
-    def coded(self, chunks):
-        """Chunks that begin with white space and end without are encoded by the hundred, as one text, and their ids told
-        apart by the bytes that they stand for; the others one by one, as they would run into their neighbours."""
-        joins = [c[0] in self.spaces and c[-1] not in self.spaces for c in chunks]
-        order = sorted(range(len(chunks)), key=joins.__getitem__)
-        alone = len(chunks) - sum(joins)
-        texts = [chunks[i] for i in order[:alone]] + ["".join(chunks[i] for i in order[a : a + JOINED]) for a in range(alone, len(order), JOINED)]
-        ids: list[int] = []
+    def inked(self, data: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Whether the characters that end at these bytes are no white space."""
+        two = data[last - 1].astype(np.int64) << 8 | data[last]
+        three = data[last - 2].astype(np.int64) << 16 | two
+        wide = data[last] > 127
+        return np.where(wide, ~(np.isin(two, self.wide[0]) | np.isin(three, self.wide[1])), self.left[data[last]] < 2)
+
+    def cut(self, data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """Where chunks start: at these firsts, at white space after another character, and at another mark after a letter or
+        digit (of ASCII). No alternative of the byte-level pattern reaches over such a place: what reaches white space
+        starts at it, and a word or number ends where its class ends."""
+        starts = np.zeros(len(data), bool)
+        np.less(self.left[data[:-1]], self.right[data[1:]], out=starts[1:])
+        if len(data) and data.max() > 127:
+            last = np.flatnonzero((data[:-1] > 127) & (self.right[data[1:]] == 2))
+            starts[last[self.inked(data, last)] + 1] = True
+        starts[firsts] = True
+        return np.flatnonzero(starts)
+
+    def coded(self, chunks: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """An order of the chunks, and the ids of each as bytes, in that order. Chunks that can follow each other and stay
+        apart (see cut) are encoded by the hundred, as one text, and their ids told apart by the bytes that they stand
+        for; the others one by one, as they would run into their neighbours."""
+        bounds, data = parts(chunks)
+        first, last = self.right[data[bounds[:-1]]], bounds[1:] - 1
+        mark = (first == 1) & (self.left[data[last]] == 0)
+        space = (first == 2) & self.inked(data, last)
+        kind = np.where(space, 2, np.where(mark, 1, 0))
+        order = np.argsort(kind, kind="stable")
+        bounds, data = parts(chunks.take(order))
+        alone = int(np.count_nonzero(kind == 0))
+        ends = bounds[[*range(alone), *range(alone, len(chunks), JOINED), len(chunks)]].tolist()
+        raw = data.tobytes()
+        texts = [raw[a:b].decode("utf-8") for a, b in zip(ends, ends[1:], strict=False)]
+        ids: list[np.ndarray] = []
         for a in range(0, len(texts), 1000):
-            for e in self.own.encode_batch_fast(texts[a : a + 1000], add_special_tokens=False):
-                ids += e.ids
-        flat = np.array(ids, np.uint32)
-        ends = np.cumsum(self.bytes_of[flat])
-        starts = np.searchsorted(ends, np.cumsum([0, *(len(chunks[i].encode("utf-8")) for i in order)]), "left")
-        starts = np.where(np.arange(len(starts)) > 0, starts + 1, 0)
-        # back to the chunks' own order
-        lengths = np.empty(len(chunks), np.int64)
-        lengths[order] = np.diff(starts)
-        first = np.empty(len(chunks), np.int64)
-        first[order] = starts[:-1]
-        out = np.cumsum([0, *lengths])
-        at = np.repeat(first - out[:-1], lengths) + np.arange(out[-1])
-        return flat[at], out
+            ids += [np.array(e.ids, "<u4") for e in self.own.encode_batch_fast(texts[a : a + 1000], add_special_tokens=False)]
+        flat = np.concatenate(ids)
+        starts = np.searchsorted(np.cumsum(self.bytes_of[flat]), bounds, "right")
+        return order, pa.Array.from_buffers(pa.large_binary(), len(chunks), [None, pa.py_buffer(4 * starts), pa.py_buffer(flat)])
+
+    def learn(self, chunks: pa.Array) -> np.ndarray:
+        """The places in self.ids of these different chunks, all of them learnt."""
+        if self.seen.nbytes + self.ids.nbytes > MEMORY:
+            kept = pa.array(self.common)
+            self.seen, self.ids = self.seen.filter(kept), self.ids.filter(kept)
+            self.common = np.zeros(len(self.seen), bool)
+        place = pc.fill_null(pc.index_in(chunks, value_set=self.seen), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.common[place[place >= 0]] = True
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            order, ids = self.coded(chunks.take(new))
+            place[new[order]] = len(self.seen) + np.arange(len(new))
+            self.seen, self.ids = pa.concat_arrays([self.seen, chunks.take(new[order])]), pa.concat_arrays([self.ids, ids])
+            self.common = np.append(self.common, np.zeros(len(new), bool))
+        return place
+
+    def encode(self, texts: pa.Array):
+        """For each of these texts (large_string): its ids. A null counts as empty."""
+        at, data = parts(texts.fill_null(""))
+        starts = self.cut(data, at[:-1][at[1:] > at[:-1]])
+        bounds = np.append(starts, len(data))
+        chunks = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        place = self.learn(chunks.dictionary)
+        ends, raw = parts(self.ids.take(place[chunks.indices.to_numpy()]))
+        flat, cuts = raw.view("<u4"), (ends[np.searchsorted(starts, at)] // 4).tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield flat[a:b]
 
 
 class ShardWriter:
@@ -191,11 +264,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         fs, base = _open(folder)
         name = f"{base}/shard-{context.partitionId():06d}.ids.zst"
         part = f"{name}.{context.taskAttemptId()}.part"
-        for keys, texts in blocks(batches, ["doc_id", "text"]):
+        for keys, texts in text_blocks(batches):
             if writer is None:
                 fs.create_dir(base, recursive=True)
                 writer = ShardWriter(fs.open_output_stream(part, compression=None), kind)
-            for key, ids in zip(keys, fast.encode([t or "" for t in texts]), strict=True):
+            for key, ids in zip(keys, fast.encode(texts), strict=True):
                 writer.add(key, np.append(ids, np.uint32(end_id)))
                 total, n = total + len(ids) + 1, n + 1
         if writer is not None:

@@ -1,12 +1,14 @@
 """Operators that read each text on its own: against brute force and the libraries' own results."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -72,6 +74,39 @@ def test_token_files_are_the_library(spark, odd, none):
     assert token_files.token_files(none, JSON, 2).count() == 0
 
 
+def test_tokenizer_gets_each_word_once_whatever_mark_follows(monkeypatch):
+    fast, asked = token_files.FastTokenizer(JSON), []
+    own = fast.own
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            asked.append(sum(map(len, texts)))
+            return own.encode_batch_fast(texts, **more)
+
+    words = ["".join(c) for c in itertools.product("abcdefgh", repeat=4)]
+    texts = [" ".join(w + mark for w in words) for mark in ["", *".,;:!?)"]]
+    want = [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(fast, "own", Counting())
+    assert [ids.tolist() for ids in fast.encode(pa.array(texts, pa.large_string()))] == want
+    assert sum(asked) < 6 * len(words)  # five characters for each word, and the marks
+    assert [ids.tolist() for ids in fast.encode(pa.array(texts, pa.large_string()))] == want and len(asked) == 1
+
+
+def test_chunks_of_any_characters_are_the_library(monkeypatch):
+    own = Tokenizer.from_file(JSON)
+    own.encode_special_tokens = True
+    kinds = [" ", "\n", "\x1c", "\x85", "\u2028", "\u3000", "aB", "7", "'", "s", ".,", "é", "日", "٣", "—", "\u0301"]
+    texts = ["".join(t) for t in itertools.product(kinds, repeat=3)]
+    texts += [None, "", "x," * 900, ",x" * 900, " é" * 900, "'s" * 900]
+    monkeypatch.setattr(token_files, "MEMORY", 20_000)
+    fast = token_files.FastTokenizer(JSON)
+    for a in range(0, len(texts), 600):
+        got = fast.encode(pa.array(texts[a : a + 600], pa.large_string()))
+        assert [ids.tolist() for ids in got] == [e.ids for e in own.encode_batch([t or "" for t in texts[a : a + 600]], add_special_tokens=False)]
+    assert len(fast.seen) < 3000
+    assert list(fast.encode(pa.array([], pa.large_string()))) == []
+
+
 def test_one_id_goes_to_many_shards(spark, tmp_path):
     df = spark.range(600).selectExpr("IF(id % 3 = 0, NULL, 7) AS doc_id", "IF(id % 2 = 0, 'one text', CONCAT('t', id)) AS text").repartition(4)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
