@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import values as V
 from quarry.operators import edges as E
 from quarry.operators import sections
-from quarry.plans import edges, records
+from quarry.plans import edges, records, service
 
 DATA = "/root/testdata/sf0.001"
 EDGES = [start for _, start, _ in V.TABLE_COLUMNS[1:]]
@@ -129,3 +129,9 @@ def test_rows_of_a_schedule(spark):
         cells = cells.withColumn(key, F.lit(""))
     got = sorted((r["entry"], r["row"], r["label"], r["offence"], r["punishment"]) for r in sections.entries(cells).collect())
     assert got == [(1, 1, "49", "Abetment of any offence, if no express provision is made.", "Same as for offence abetted."), (1, 2, None, "Another offence;", "Fine or both"), (2, 1, "50(1)", "Theft", "Two years")]
+
+
+def test_keys_of_what_is_not_an_address(spark):
+    keys = {"::ffff:10.0.0.9": "10.0.0.9", "::ffff:10.0.0.1002": "10.0.0.1002", "10.1.0.300": "10.1.0.300", "2001:db8:0:1f4::1": "2001:db8:0:100::/56", "2001:db8:0:57e40::1": "2001:db8:0:57e00::/56", "unknown": "unknown"}
+    rows = spark.createDataFrame([(a,) for a in keys], "a string")
+    assert {r["a"]: r["key"] for r in rows.select("a", service.ip_key(F.col("a")).alias("key")).collect()} == keys
