@@ -22,9 +22,10 @@ def latest(log: DataFrame, key: str, *order: str) -> DataFrame:
 
 def job_status(log: DataFrame, key: str, order: list[str], stage: str, share: str, attempts: int = 2) -> DataFrame:
     """(key, status, progress, failures) of jobs from their stage events: the last stage and its share done, to two
-    places; a job is failed once it has failed as often as it is tried, and queued again before."""
+    places, halves decided on a hundred times the share; a job is failed once it has failed as often as it is tried, and
+    queued again before."""
     last = log.groupBy(key).agg(F.max_by(F.struct(stage, share), F.struct(*order)).alias("s"), F.count_if(F.col(stage) == "failed").alias("failures"))
-    own, done = F.col(f"s.{stage}"), F.round(F.coalesce(F.col(f"s.{share}"), F.lit(0.0)), 2)
+    own, done = F.col(f"s.{stage}"), F.round(F.coalesce(F.col(f"s.{share}"), F.lit(0.0)) * 100) / 100
     status = F.when((own == "failed") & (F.col("failures") < attempts), "queued").otherwise(own)
     return last.select(key, status.alias("status"), F.when(own == "ready", 1.0).when(own == "failed", 0.0).otherwise(done).alias("progress"), "failures")
 

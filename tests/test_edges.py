@@ -135,3 +135,10 @@ def test_keys_of_what_is_not_an_address(spark):
     keys = {"::ffff:10.0.0.9": "10.0.0.9", "::ffff:10.0.0.1002": "10.0.0.1002", "10.1.0.300": "10.1.0.300", "2001:db8:0:1f4::1": "2001:db8:0:100::/56", "2001:db8:0:57e40::1": "2001:db8:0:57e00::/56", "unknown": "unknown"}
     rows = spark.createDataFrame([(a,) for a in keys], "a string")
     assert {r["a"]: r["key"] for r in rows.select("a", service.ip_key(F.col("a")).alias("key")).collect()} == keys
+
+
+def test_share_of_a_job_is_rounded_as_binary(spark, duck):
+    """Of all shares that values of two places give, as DuckDB rounds them: 0.145, 0.285, 0.565 and 0.575 go down."""
+    log = spark.range(20001).selectExpr("id AS user_id", "id AS ts", "'chunking' AS stage", "least(1D, abs(id / 100D) / 200) AS share")
+    got = {r["user_id"]: r["progress"] for r in E.job_status(log, "user_id", ["ts"], "stage", "share").collect()}
+    assert got == dict(duck.execute("SELECT i, round(least(1::DOUBLE, abs(i / 100::DOUBLE) / 200), 2) FROM range(20001) t(i)").fetchall())
