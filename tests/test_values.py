@@ -116,3 +116,12 @@ def test_plans_prune_columns_and_push_filters(spark):
 
     plan = table(spark, "/root/testdata/sf0.001", "documents").where("source = 'src1'").select("doc_id", "source")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(source), EqualTo(source,src1)]" in plan and "text" not in plan.split("ReadSchema")[1]
+
+
+def test_equal_runs_stand_as_they_came(spark):
+    """Two runs at one place, of one text and different widths: the later one's end decides on the gap behind it."""
+    run = "doc_id long, page int, x double, y double, width double, str string, place long"
+    for widths, text in (((30.0, 5.0), "aa b"), ((5.0, 30.0), "aab")):
+        rows = [(1, 1, 10.0, 700.0, w, "a", i) for i, w in enumerate(widths)] + [(1, 1, 30.0, 700.0, 5.0, "b", 2)]
+        for given in (rows, rows[::-1]):
+            assert [r["text"] for r in layout.lines(spark.createDataFrame(given, run), ties=("place",)).collect()] == [text]
