@@ -135,7 +135,7 @@ def _golden(spark, d):
 
 def _legs(spark, d):
     held, terms = _golden(spark, d)
-    sparse = S.top(search.stored_index(spark, d).scores(terms), V.POOL)
+    sparse = search.best(spark, d, terms)
     return written(held, "held"), search._dense(spark, d), written(sparse, "sparse")
 
 
