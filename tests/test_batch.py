@@ -1,5 +1,6 @@
 """Batch scores against scoring every pair plainly."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import values as V
@@ -7,7 +8,7 @@ from quarry.operators import batch as B
 from quarry.operators import index as I
 from quarry.operators import records
 from quarry.operators import retrieval as R
-from quarry.plans import search
+from quarry.plans import edges, search
 
 from .conftest import DATA
 
@@ -46,3 +47,10 @@ def test_cost_is_rounded_as_binary(spark, duck):
     n = spark.range(20_000).select("id", records.cost(F.col("id"), F.lit(5)).alias("usd"))
     sql = f"SELECT i, round((i * {V.INPUT_RATE}::DOUBLE + 5 * {V.OUTPUT_RATE}::DOUBLE) / 1000000, 6) FROM range(20000) t(i)"
     assert {r["id"]: r["usd"] for r in n.collect()} == dict(duck.execute(sql).fetchall())
+
+
+@pytest.mark.parametrize("query", [edges.answer_pass])
+def test_no_index_is_built(spark, monkeypatch, query):
+    """Documents are scored where they are read: postings of all terms, and a row for each pair, took the disk."""
+    monkeypatch.setattr(search, "stored_index", lambda *_: 1 / 0)
+    assert query(spark, DATA).columns
