@@ -49,7 +49,7 @@ def test_cost_is_rounded_as_binary(spark, duck):
     assert {r["id"]: r["usd"] for r in n.collect()} == dict(duck.execute(sql).fetchall())
 
 
-@pytest.mark.parametrize("query", [search.diversify_cap2, edges.answer_pass])
+@pytest.mark.parametrize("query", [search.diversify_cap2, edges.sweep_configs, edges.answer_pass])
 def test_no_index_is_built(spark, monkeypatch, query):
     """Documents are scored where they are read: postings of all terms, and a row for each pair, took the disk."""
     monkeypatch.setattr(search, "stored_index", lambda *_: 1 / 0)
